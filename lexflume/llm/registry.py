@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexflume.llm import encode, leakage, near_dup, rank_fusion, terms, top_items
+from lexflume.llm import boilerplate, encode, leakage, near_dup, rank_fusion, terms, top_items
 from lexflume.session import table
 
 RUNS = ("results_okapibm25_aggs_new", "results_jm_aggs", "results_tfidf_aggs")
@@ -28,6 +28,17 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_fusion.fuse_rankings(runs, "query_id", "doc_id").select(F.col("grp").alias("query_id"), F.col("item").alias("doc_id"), F.round("share", 9).alias("share"), "rank")
 
 
+_PAGE = ("page_id", "url", "host", "content")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture_lines(table(spark, sf_dir, "hurricane_index"), *_PAGE).select(F.col("page").alias("page_id"), "line_no")
+
+
+def p3_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_content(table(spark, sf_dir, "hurricane_index"), *_PAGE).select(F.col("page").alias("page_id"), "content")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.leading_terms(table(spark, sf_dir, "term_vectors_new")).select(F.col("doc").alias("doc_id"), "term")
 
@@ -75,7 +86,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p2_found, p2_ranking, p4_found, p4_divergence, p6_found, p6_ranked, p7_found, p7_frequencies, p8_ids, p9_found, p9_leaked_items, p9_clean)
+    named = (p1_found, p2_found, p2_ranking, p3_found, p3_content, p4_found, p4_divergence, p6_found, p6_ranked, p7_found, p7_frequencies, p8_ids, p9_found, p9_leaked_items, p9_clean)
     return {f.__name__: f for f in named}
 
 
