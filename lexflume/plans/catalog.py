@@ -1,9 +1,19 @@
 """The core queries and their DuckDB twins."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from lexflume.plans import skew
+
+MODULES = (skew,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for module in MODULES for f in module.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
