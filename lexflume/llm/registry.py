@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexflume.llm import boilerplate, encode, leakage, near_dup, rank_fusion, terms, top_items
+from lexflume.llm import boilerplate, encode, leakage, near_dup, rank_fusion, terms, top_items, truncation
 from lexflume.session import table
 
 RUNS = ("results_okapibm25_aggs_new", "results_jm_aggs", "results_tfidf_aggs")
@@ -85,8 +85,20 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents"), "doc_id", _leaks(spark, sf_dir)).select("doc_id", "source")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("cut").select(F.col("doc").alias("doc_id"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(_judged(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p2_found, p2_ranking, p3_found, p3_content, p4_found, p4_divergence, p6_found, p6_ranked, p7_found, p7_frequencies, p8_ids, p9_found, p9_leaked_items, p9_clean)
+    named = (p1_found, p2_found, p2_ranking, p3_found, p3_content, p4_found, p4_divergence, p6_found, p6_ranked, p7_found, p7_frequencies, p8_ids, p9_found, p9_leaked_items, p9_clean, p10_found, p10_rates)
     return {f.__name__: f for f in named}
 
 
