@@ -39,7 +39,7 @@ def p5_inlink_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.key_quantiles(rows, "key", "inlinks", (0.25, 0.5, 0.75)).select(F.col("key").alias("url"), "p", F.col("value").alias("inlinks"))
 
 
-QUERIES = (p5_found, p5_totals, p5_length_quantiles, p5_inlink_quantiles)
+QUERIES = {f.__name__: f for f in (p5_found, p5_totals, p5_length_quantiles, p5_inlink_quantiles)}
 
 _LINK = r"""
   CASE WHEN regexp_matches(bare, '^https?://', 'i')
