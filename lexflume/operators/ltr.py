@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexflume.session import materialize
+
 #: What a pair gets where a model hasn't ranked it (fixed values).
 MISSING = {"bm25": 0.0, "laplace": -5000.0, "jm": -5000.0, "tfidf": 0.0, "okapi": 0.0}
 
@@ -77,6 +79,7 @@ class KernelClassifier:
         return rows.withColumn("_features", array_to_vector(F.array(*(F.cos(a) * scale for a in angles))))
 
     def fit(self, rows: DataFrame, label: str = "label") -> KernelClassifier:
+        rows = materialize(rows.select(label, *self.columns))
         n = max(1, rows.count())
         regression = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (self.c * n), standardization=False, maxIter=100)
         self.model = Pipeline(stages=[regression]).fit(self._mapped(rows))
@@ -90,7 +93,7 @@ class KernelClassifier:
 
 def cross_validated(rows: DataFrame, columns: list[str], folds: int = 5, **options) -> DataFrame:
     """(query_id, doc_id, rank, score, fold): every fold scored by a model of the others, ranked by score."""
-    laid = query_folds(rows, folds)
+    laid = materialize(query_folds(rows, folds))
     out = None
     for fold in range(folds):
         train, test = laid.where(F.col("fold") != fold), laid.where(F.col("fold") == fold)

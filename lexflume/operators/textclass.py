@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexflume.functions.analysis import word_list
+
 #: Words of the two fixed vocabularies (fixed values).
 VOCABULARY_A = (
     "free", "click here", "winner", "won", "prize", "money", "cash", "porn", "access now", "apply now", "credit", "buy now", "limited time",
@@ -22,12 +24,11 @@ VOCABULARY_B = (
     "$$$", "$discount", "click here", "meet singles", "incredible deal", "lose weight", "act now", "100% free", "fast cash", "million dollars",
     "lower interest rate", "visit our website", "no credit check",
 )
-#: Tokens of two or more word characters.
-TOKEN = r"(?U)\b\w\w+\b"
-
 
 def with_tokens(rows: DataFrame, text_col: str, column: str = "tokens") -> DataFrame:
-    return rows.withColumn(column, F.coalesce(F.regexp_extract_all(F.lower(text_col), F.lit(TOKEN), 0), F.array().cast("array<string>")))
+    """Adds the words of two or more characters; null texts have none."""
+    found = F.filter(word_list(F.lower(text_col)), lambda w: F.length(w) >= 2)
+    return rows.withColumn(column, F.coalesce(found, F.array().cast("array<string>")))
 
 
 def with_ngrams(rows: DataFrame, most: int = 2, column: str = "tokens") -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexflume.plans import retrieval, skew
+from lexflume.plans import classify, evaluation, retrieval, skew, web
 
-MODULES = (retrieval, skew)
+MODULES = (retrieval, evaluation, web, classify, skew)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
