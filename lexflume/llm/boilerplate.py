@@ -22,14 +22,17 @@ partial aggregates. A hot host is spread by (host, token).
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexflume.functions.arrow import text_slices
 from lexflume.session import materialize, maybe_broadcast
 
 LEAST_ARTICLES = 3
@@ -42,35 +45,76 @@ HEADING_SHARE = 0.6
 INSIDE_SHARE = 0.5
 LEARNED_SENT = 500_000
 
-_FURNITURE, _ITEM, _TITLE, _HEADLINE, _LISTS, _INSIDE = 1, 2, 4, 8, 16, 32
+_FURNITURE, _ITEM, _TITLE, _HEADLINE, _LISTS, _INSIDE, _ITEMS, _CRUMB = (1 << k for k in range(8))
 _WORD = r"[\p{L}\p{N}\u0001]+"
 _SITE = "\u0001"
 _BREAK = r"\s*[|·•*/>]\s*|\t|\s{2,}|\s-\s|^-\s"
 
 
+_TRIMMED = " \t\r\f\v\u00a0\u200b\ufeff\u2028\u3000"
+_NUMBER = re.compile(r"[0-9]+")
+_NOT_SLUG = re.compile(r"[^a-z0-9]+")
+_HOST = re.compile(r"^\w+://([^/:?#]+)")
+_SLUG = re.compile(r"/([^/?#]*?)(?:-[0-9]+)?/?(?:[?#].*)?$")
+_NAME = re.compile(r"^(?:www\.)?([^.]+)")
+_SEPARATORS = re.compile(_BREAK)
+_ENDS = tuple(".!?:;\"”»)")
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+
+
+def _lines_of(page: int, url: str | None, host: str | None, text: str) -> Iterator[tuple]:
+    url = url or ""
+    found = _HOST.match(url)
+    host = (host or (found.group(1) if found else "")).lower()
+    slug = _SLUG.search(url.lower())
+    slug = slug.group(1) if slug else ""
+    name = _NAME.match(host)
+    site = name.group(1).replace("-", " ").replace("_", " ") if name else ""
+    article = _hash(host, slug or str(page))
+    raw = text.lower()
+    plain = _NUMBER.sub("0", raw)
+    if len(site) >= 3:
+        plain = plain.replace(site, _SITE)
+    host_key = _hash(host)
+    for at, (line, own_text) in enumerate(zip(plain.split("\n"), raw.split("\n")), 1):
+        line = line.strip(_TRIMMED)
+        if not line:
+            continue
+        bits = 0
+        if len(slug) >= 8 and len(own_text) <= len(slug) + 60 and (own := _NOT_SLUG.sub("-", own_text).strip("-")).startswith(slug) and (len(own) == len(slug) or len(slug) >= 30):
+            bits = _HEADLINE
+        elif not line.endswith(_ENDS) and "0.0" not in line and "0:0" not in line:
+            bits = _TITLE
+        if line.count(" ") <= 2 or _SEPARATORS.search(line):
+            bits |= _ITEMS
+            if ">" in own_text:
+                last = _NOT_SLUG.sub("-", own_text.rsplit(">", 1)[1]).strip("-")
+                if len(last) >= 4 and slug.startswith(last):
+                    bits |= _CRUMB
+        yield page, at, host_key, article, bits, line
+
+
+def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    for batch in batches:
+        for rows, texts in text_slices(batch, 3):
+            ids, urls, hosts = (rows.column(k).to_pylist() for k in range(3))
+            lines = [x for i, u, h, t in zip(ids, urls, hosts, texts) if t for x in _lines_of(i, u, h, t)]
+            columns = zip(*lines) if lines else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page", "line_no", "host", "article", "bits", "text"])
+
+
 def page_lines(pages: DataFrame, id_col: str, url_col: str, host_col: str, text_col: str) -> DataFrame:
-    """(page, line_no, host, article, own, text): the lines that aren't blank, in lower case with slots for numbers and the site's name.
+    """(page, line_no, host, article, bits, text): the lines that aren't blank, in lower case with slots for numbers and the site's name.
 
-    own: whether the line is the headline that the page's URL is made of. crumb: whether its last item is that headline cut off.
+    bits: the headline that the page's URL is made of; title-like (no terminator, no measured value); made of items;
+    ending in the headline cut off.
     """
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    host = F.lower(F.coalesce(F.col(host_col), F.regexp_extract(url, r"^\w+://([^/:?#]+)", 1)))
-    slug = F.regexp_extract(F.lower(url), r"/([^/?#]*?)(?:-\d+)?/?(?:[?#].*)?$", 1)
-    rows = pages.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("page"), F.xxhash64(host).alias("host"), slug.alias("slug"),
-        F.translate(F.regexp_extract(host, r"^(?:www\.)?([^.]+)", 1), "-_", "  ").alias("site"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "raw"),
-    )
-    trimmed = rows.withColumn("raw", F.lower(F.btrim("raw", F.lit(" \t\r\f\v ​﻿　")))).where("raw <> ''")
-    slots = F.regexp_replace("raw", r"[0-9]+", "0")
-    text = F.when(F.length("site") >= 3, F.replace(slots, F.col("site"), F.lit(_SITE))).otherwise(slots)
-    last = F.when(F.instr("raw", ">") > 0, F.regexp_extract("raw", r">\s*([^>]*)$", 1))
-    short = F.length("raw") <= F.length("slug") + 60
-    as_slug = lambda c: F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9]+", "-"), r"^-|-$", "")
-    headline = short & (F.length("slug") >= 8) & ((as_slug(F.col("raw")) == F.col("slug")) | (as_slug(F.col("raw")).startswith(F.col("slug")) & (F.length("slug") >= 30)))
-    crumb = last.isNotNull() & (F.length(as_slug(last)) >= 4) & F.col("slug").startswith(as_slug(last))
-    article = F.xxhash64(F.col("host"), F.when(F.col("slug") == "", F.col("page").cast("string")).otherwise(F.col("slug")))
-    return trimmed.select("page", (F.col("at") + 1).cast("int").alias("line_no"), "host", article.alias("article"), F.coalesce(headline, F.lit(False)).alias("own"), F.coalesce(crumb, F.lit(False)).alias("crumb"), text.alias("text"))
+    rows = pages.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_line_batches, "page long, line_no int, host long, article long, bits int, text string")
 
 
 def _key(text: Column) -> Column:
@@ -131,51 +175,52 @@ def _classified(lines: DataFrame) -> DataFrame:
     inner = maybe_broadcast(materialize(common.where((F.col("hosts") >= 3) & (F.col("held") < 0.5 * F.col("hosts"))).select("key")))
 
     template_lines = materialize(lines.withColumn("key", _key(F.col("text"))).join(valid, ["host", "key"], "left_semi").select("host", "text").distinct())
-    words = template_lines.select("host", F.explode(_contexts(F.col("text"))).alias("context")).distinct().groupBy("context").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
-    words = maybe_broadcast(materialize(words.select("context")))
-    items = template_lines.select("host", F.explode(_items(F.col("text"))).alias("item")).where(F.length("item") <= 40).distinct().groupBy("item").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
-    items = maybe_broadcast(materialize(items.select(F.xxhash64("item").alias("item"))))
+    def shared(rows: DataFrame, column: str) -> DataFrame:
+        """Values that the templates of several hosts have."""
+        counted = rows.distinct().groupBy(column).agg(F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
+        return maybe_broadcast(materialize(counted.select(column)))
+
+    words = shared(template_lines.select("host", F.explode(_contexts(F.col("text"))).alias("context")), "context")
+    items = shared(template_lines.select("host", F.explode(_items(F.col("text"))).alias("item")).where(F.length("item") <= 40).select("host", F.xxhash64("item").alias("item")), "item")
+    ends = shared(template_lines.select("host", F.explode(F.array(_two(F.col("text"), 2), _two(F.col("text"), -2))).alias("end")), "end")
 
     flag = lambda df, name: df.withColumn(name, F.lit(True))
-    base = lines.withColumn("key", _key(F.col("text"))).withColumn("lead", _lead(F.col("text")))
-    mark = _marked(flag(valid, "here"), "here", base, ["host", "key"])
-    mark = _marked(flag(valid.withColumnRenamed("key", "lead"), "here_lead"), "here_lead", mark, ["host", "lead"])
-    mark = _marked(flag(constant, "everywhere"), "everywhere", mark, ["key"])
-    mark = _marked(flag(constant.withColumnRenamed("key", "lead"), "everywhere_lead"), "everywhere_lead", mark, ["lead"])
-    mark = _marked(flag(inner, "inner"), "inner", mark, ["key"])
-
-    # the open lines whose first or last words, or whose items, are in templates are looked at closely
-    open_ = mark.where("NOT (here OR here_lead OR everywhere OR everywhere_lead)")
-    first = F.xxhash64(F.concat_ws(" ", F.lit("^"), F.slice(_words(F.substring("text", 1, 80)), 1, 2)))
-    tail = _words(F.right("text", F.lit(80)))
-    last = F.xxhash64(F.concat_ws(" ", F.slice(tail, F.greatest(F.size(tail) - 1, F.lit(1)), 2), F.lit("$")))
-    begins = open_.select("page", "line_no", "text", first.alias("first"), last.alias("last"))
-    begins = _marked(flag(words.withColumnRenamed("context", "first"), "f"), "f", begins, ["first"])
-    begins = _marked(flag(words.withColumnRenamed("context", "last"), "l"), "l", begins, ["last"])
-    near = begins.where("f OR l").select("page", "line_no", F.explode(_contexts(F.col("text"))).alias("context"))
-    near = _marked(flag(words, "hit"), "hit", near, ["context"]).groupBy("page", "line_no").agg(F.avg(F.col("hit").cast("int")).alias("covered")).where(F.col("covered") >= COVERED).select("page", "line_no", F.lit(_FURNITURE).alias("more"))
-    parts = open_.select("page", "line_no", "crumb", _items(F.col("text")).alias("parts"), F.size(_words(F.col("text"))).alias("words")).where(F.size("parts") <= F.col("words"))
-    parts = parts.where((F.size("parts") > 1) | (F.col("words") <= 3)).select("page", "line_no", "crumb", F.size("parts").alias("n"), F.explode(F.transform("parts", lambda x: F.xxhash64(x))).alias("item"))
+    mark = lines.withColumn("key", _key(F.col("text"))).withColumn("lead", _lead(F.col("text")))
+    for small, name, on in (
+        (valid, "here", ["host", "key"]), (valid.withColumnRenamed("key", "lead"), "here_lead", ["host", "lead"]), (constant, "everywhere", ["key"]),
+        (constant.withColumnRenamed("key", "lead"), "everywhere_lead", ["lead"]), (inner, "inner", ["key"]),
+    ):
+        mark = _marked(flag(small, name), name, mark, on)
+
+    # the open lines whose first or last words are a template's, or that are made of items, are looked at closely
+    bit = lambda b: F.col("bits").bitwiseAND(F.lit(b)) > 0
+    open_ = mark.where("NOT (here OR here_lead OR everywhere OR everywhere_lead)").select("page", "line_no", "bits", "text", _two(F.col("text"), 2).alias("begin"), _two(F.col("text"), -2).alias("finish"))
+    open_ = _marked(flag(ends.withColumnRenamed("end", "begin"), "f"), "f", open_, ["begin"])
+    open_ = _marked(flag(ends.withColumnRenamed("end", "finish"), "l"), "l", open_, ["finish"])
+    close = materialize(open_.where(F.col("f") | F.col("l") | bit(_ITEMS)).select("page", "line_no", "bits", "text", (F.col("f") | F.col("l")).alias("near")))
+    near = close.where("near").select("page", "line_no", F.explode(_contexts(F.col("text"))).alias("context"))
+    near = _marked(flag(words, "hit"), "hit", near, ["context"]).groupBy("page", "line_no").agg(F.avg(F.col("hit").cast("int")).alias("covered"), F.count("*").alias("words"))
+    # one or two words are compared as items, not by context
+    near = near.where((F.col("covered") >= COVERED) & (F.col("words") >= 3)).select("page", "line_no", F.lit(_FURNITURE).alias("more"))
+    parts = close.where(bit(_ITEMS)).select("page", "line_no", bit(_CRUMB).alias("crumb"), _items(F.col("text")).alias("parts"))
+    parts = parts.select("page", "line_no", "crumb", F.size("parts").alias("n"), F.explode(F.transform("parts", lambda x: F.xxhash64(x))).alias("item"))
     parts = _marked(flag(items, "hit"), "hit", parts, ["item"]).groupBy("page", "line_no").agg(F.avg(F.col("hit").cast("int")).alias("covered"), F.max("n").alias("n"), F.max("crumb").alias("crumb"))
     menu = F.when((F.col("n") > 1) & ((F.col("covered") >= ITEMS_COVERED) | (F.col("crumb") & (F.col("covered") > 0))), _FURNITURE).when((F.col("n") == 1) & (F.col("covered") == 1), _ITEM)
     parts = parts.select("page", "line_no", menu.alias("more")).where("more IS NOT NULL")
     more = near.unionByName(parts).groupBy("page", "line_no").agg(F.bit_or("more").alias("more"))
 
     sure = F.col("everywhere") | F.col("everywhere_lead") | F.col("here_lead") | (F.col("here") & ~F.col("inner"))
-    value = r"[0-9][.:][0-9]"
-    title = ~F.col("own") & ~F.col("text").rlike(r"[.!?:;\"”»)]$") & ~F.col("text").rlike(value)
-    bits = (
-        F.when(sure, _FURNITURE).otherwise(0)
-        + F.when(~sure & F.col("here") & F.col("inner"), _ITEM).otherwise(0)
-        + F.when(title, _TITLE).otherwise(0)
-        + F.when(F.col("own"), _HEADLINE).otherwise(0)
-    )
-    begin = _words(F.substring("text", 1, 80))
-    words = [F.when(title, F.xxhash64(F.lit(k), F.concat_ws(" ", F.slice(begin, 1, k)))) for k in (1, 2)]
-    plain = mark.select("page", "line_no", "key", bits.cast("int").alias("bits"), words[0].alias("first"), words[1].alias("second"))
+    bits = F.col("bits").bitwiseOR(F.when(sure, _FURNITURE).when(F.col("here") & F.col("inner"), _ITEM).otherwise(0))
+    begin = [F.when(bit(_TITLE), F.xxhash64(F.lit(k), F.substring_index("text", " ", k))) for k in (1, 2)]
+    plain = mark.select("page", "line_no", "key", bits.alias("bits"), begin[0].alias("first"), begin[1].alias("second"))
     return plain.join(more, ["page", "line_no"], "left").select("page", "line_no", "key", "first", "second", F.col("bits").bitwiseOR(F.coalesce("more", F.lit(0))).alias("bits"))
 
 
+def _two(text: Column, n: int) -> Column:
+    """The key of the first two words of a line, or of the last two."""
+    return F.xxhash64(F.lit(n), F.substring_index(F.rtrim(text, F.lit(".!?,;:")), " ", n))
+
+
 def _marked(small: DataFrame, name: str, rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(small, on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
