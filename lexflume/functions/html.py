@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +48,4 @@ def links(html: Column) -> Column:
 
 def admitted(lang: Column, url: Column, wanted: str = "en", blocked: tuple[str, ...] = BLOCKED) -> Column:
     """Whether the language contains `wanted` and the URL none of the blocked parts."""
-    ok = F.contains(F.lower(lang), F.lit(wanted))
-    for part in blocked:
-        ok = ok & ~F.contains(F.lower(url), F.lit(part))
-    return ok
+    return F.contains(F.lower(lang), F.lit(wanted)) & ~url.rlike("(?i)" + "|".join(map(re.escape, blocked)))

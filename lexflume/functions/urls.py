@@ -70,9 +70,7 @@ def canonicalize(base: Column, link: Column, resolve_relative: bool = False, exa
         plain = F.when(F.instr(plain, "//") > 0, plain).otherwise(_join(base, plain))
     else:
         plain = F.when(plain.rlike(r"^(?:\.\./)+[^/]"), _climb(base, plain)).otherwise(plain)
-    bad = ~plain.rlike(r"[\p{L}\p{N}_]")
-    for part in unwanted:
-        bad = bad | F.contains(F.lower(plain), F.lit(part))
+    bad = ~plain.rlike(r"[\p{L}\p{N}_]") | plain.rlike("(?i)" + "|".join(map(re.escape, unwanted)))
     cut = {p: (rf"^([^/]*//[^/]*):{p}(?![0-9])", "$1") if exact_ports else (f":{p}", "") for p in (443, 80)}
     lower = F.lower(plain)
     port = F.when(lower.startswith("https"), F.regexp_replace(plain, *cut[443])).when(lower.startswith("http"), F.regexp_replace(plain, *cut[80])).otherwise(plain)

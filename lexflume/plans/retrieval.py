@@ -119,7 +119,7 @@ def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feedback.significant_terms(_index(spark, sf_dir), _queries(spark, sf_dir), least_docs=5, top=3)
-    return rows.select("query_id", "source_term", "term", "foreground", F.round("score", 6).alias("score"))
+    return rows.select("query_id", "source_term", "term", "foreground", "score")
 
 
 def prf_aggs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,7 @@ ORACLE = {
     "laplace_lm": f"{_DENSE} {_rank('SELECT query_id, doc_id, sum(qtf * ln((tf + 1) / (dl + v))) AS score FROM full_ GROUP BY query_id, doc_id')}",
     "jm_lm": f"{_DENSE} {_rank('SELECT query_id, doc_id, sum(qtf * ln(1.1 * tf / dl + (1.1::DOUBLE - 1) * ttf / v)) AS score FROM full_ GROUP BY query_id, doc_id')}",
     "prf_expand": f"{_FEEDBACK}, {_OWN}, new AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS new FROM fresh GROUP BY query_id) SELECT query_id, CASE WHEN new IS NULL THEN own ELSE new || ' ' || own END AS terms FROM own LEFT JOIN new USING (query_id)",
-    "significant_terms": f"{_SIGNIFICANT} SELECT query_id, source_term, term, foreground, round(score, 6) AS score FROM sig",
+    "significant_terms": f"{_SIGNIFICANT} SELECT query_id, source_term, term, foreground, score FROM sig",
     "prf_aggs_expand": f"""{_SIGNIFICANT}, {_OWN},
       votes AS (SELECT query_id, term, count(*) AS n_votes FROM sig GROUP BY query_id, term),
       few AS (SELECT query_id, term FROM votes QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_votes DESC, term) <= 2),
