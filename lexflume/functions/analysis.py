@@ -40,7 +40,7 @@ def not_stopped_substring(term: Column, stop_text: str) -> Column:
 def porter_stem(terms: pd.Series) -> pd.Series:
     """Porter stems; each distinct term of a batch is stemmed once."""
     known = {t: stem_word(t) for t in terms.dropna().unique()}
-    return terms.map(known, na_action="ignore")
+    return pd.Series([known.get(t) for t in terms], dtype=object)
 
 
 def stem_terms(tokens: DataFrame, column: str = "term") -> DataFrame:

@@ -103,4 +103,4 @@ def _walked(url: str) -> str:
 @F.pandas_udf(StringType())
 def index_key(urls: pd.Series) -> pd.Series:
     """The key of a page in the index: scheme and host in lower case, no explicit port, no fragment, single slashes, '.' and '..' resolved (at the root they stop)."""
-    return urls.map(_walked, na_action="ignore")
+    return pd.Series([_walked(u) if isinstance(u, str) else None for u in urls], dtype=object)

@@ -41,7 +41,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
-    links = edges.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("out"))
     links = materialize(links.join(out, "src").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"))
     sinks = materialize(nodes.join(out.select(F.col("src").alias("node")), "node", "left_anti"))
@@ -89,7 +89,7 @@ def hits(edges: DataFrame, base: DataFrame, iterations: int | None = None, toler
     of both change by less than 1.
     """
     nodes = materialize(base.select("node").where("node IS NOT NULL").distinct())
-    inside = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    inside = edges.select("src", "dst").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     links = materialize(inside.groupBy("src", "dst").agg(F.count("*").alias("times")))
     scores = materialize(nodes.withColumns({"authority": F.lit(1.0), "hub": F.lit(1.0)}))
     before = None

@@ -20,7 +20,7 @@ BUCKETS = 64
 def value_histogram(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, bucket, rows, total, least, most): values by sign and power of two, as mergeable counts."""
     v = F.col(value)
-    bucket = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100)).cast("int")
+    bucket = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.least(F.log2(F.abs(v)), F.lit(2000.0))) + 1100)).cast("int")
     return rows.select(F.col(key).alias("key"), v.alias("value"), bucket.alias("bucket")).groupBy("key", "bucket").agg(
         F.count("*").alias("rows"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most")
     )

@@ -23,7 +23,7 @@ def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
 
 def _documents(files: DataFrame, charset: str) -> DataFrame:
     """(path, at, body) of every <DOC> ... </DOC> block."""
-    text = F.regexp_replace(F.decode("content", F.lit(charset)), "\r\n?", "\n")
+    text = F.regexp_replace(F.decode("content", charset), "\r\n?", "\n")
     blocks = files.where(~F.lower("path").rlike(r"/readme$")).select("path", F.posexplode(F.split(text, "</DOC>")).alias("at", "body"))
     return blocks.where(F.contains("body", F.lit("<DOCNO>"))).withColumn("body", F.element_at(F.split("body", "<DOC>"), -1))
 
@@ -57,7 +57,7 @@ def read_crawl_documents(spark: SparkSession, path: str, glob: str | None = None
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, at, value) with line numbers within each file."""
-    files = _files(spark, path, None).select("path", F.posexplode(F.split(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n"), "\n")).alias("at", "value"))
+    files = _files(spark, path, None).select("path", F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n"), "\n")).alias("at", "value"))
     return files
 
 
@@ -150,7 +150,7 @@ def mail_parts(mails: DataFrame, id_col: str, raw_col: str) -> DataFrame:
 def read_mail_corpus(spark: SparkSession, index_path: str, mail_path: str, glob: str = "inmail.*") -> DataFrame:
     """(doc_id, label, subject, body) of an index of lines 'label path' and the message files it names (ISO-8859-1)."""
     index = spark.read.text(index_path).select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.col("p")[0].alias("label"), F.regexp_extract(F.col("p")[1], r"inmail\.(.*)$", 1).alias("doc_id"))
-    files = _files(spark, mail_path, glob).select(F.regexp_extract("path", r"inmail\.(.*)$", 1).alias("doc_id"), F.decode("content", F.lit("ISO-8859-1")).alias("raw"))
+    files = _files(spark, mail_path, glob).select(F.regexp_extract("path", r"inmail\.(.*)$", 1).alias("doc_id"), F.decode("content", "ISO-8859-1").alias("raw"))
     return index.join(mail_parts(files, "doc_id", "raw").withColumnRenamed("id", "doc_id"), "doc_id")
 
 
