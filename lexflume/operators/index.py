@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexflume.functions.analysis import Analyzer
+from lexflume.session import materialize
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -57,10 +58,14 @@ class SearchIndex:
         return cls(docs, post, term_stats(post), doc_stats(post), collection_stats(docs, post, approximate))
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None) -> SearchIndex:
-        """Index a collection. Empty and null texts count as documents without terms; repeated ids are one document."""
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, keep: bool = False) -> SearchIndex:
+        """Index a collection. Empty and null texts count as documents without terms; repeated ids are one document.
+
+        `keep` writes the postings to the shared folder once, so that statistics and searches read them instead of the texts.
+        """
         ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-        return cls.of(ids, postings((analyzer or Analyzer()).tokens(docs, id_col, text_col)))
+        post = postings((analyzer or Analyzer()).tokens(docs, id_col, text_col))
+        return cls.of(ids, materialize(post) if keep else post)
 
     @classmethod
     def from_vectors(cls, vectors: DataFrame, doc_col: str = "doc_id", term_col: str = "term", freq_col: str = "term_freq") -> SearchIndex:

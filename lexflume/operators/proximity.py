@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,40 +33,65 @@ def visited_close(left: list[int], right: list[int], window: int) -> int:
     return close + (sum(abs(p - left[-1]) <= window for p in right[j:]) if j < len(right) else 0)
 
 
-def accumulate(positions: dict[str, list[int]], n: int, window: int = 2) -> dict[str, float]:
-    """For each word the sum over its close pairs with the other words: log2((n - t + 1) / (t + 0.5)) / window^2 each, t the other word's positions in the document."""
-    out = {}
-    for word, own in positions.items():
-        total = 0.0
-        for other, theirs in positions.items():
-            if other != word:
-                weight = log2((n - len(theirs) + 1) / (len(theirs) + 0.5)) / window**2 if n - len(theirs) + 1 > 0 else 0.0
-                total += visited_close(own, theirs, window) * weight
-        out[word] = total
+def accumulate(words: list[list[int]], n: int, window: int = 2) -> list[float]:
+    """For each word (its sorted positions in a document) the sum over its close pairs with the other words:
+    log2((n - t + 1) / (t + 0.5)) / window^2 each, t the other word's positions in the document.
+
+    Only words with positions within the window of each other are walked; no others can have a close pair.
+    """
+    out = [0.0] * len(words)
+    flat = sorted((p, w) for w, own in enumerate(words) for p in own)
+    near = set()
+    for i, (p, w) in enumerate(flat):
+        for q, v in flat[i + 1 :]:
+            if q - p > window:
+                break
+            if v != w:
+                near.add((min(v, w), max(v, w)))
+    for v, w in near:
+        close = visited_close(words[v], words[w], window)
+        for own, other in ((v, len(words[w])), (w, len(words[v]))):
+            if n - other + 1 > 0:
+                out[own] += close * log2((n - other + 1) / (other + 0.5)) / window**2
     return out
 
 
+def _with_neighbours(lists: pa.ListArray, window: int) -> np.ndarray:
+    """The rows of list<list<int>> in which positions of two different words lie within the window, found by sorting all positions at once."""
+    words = lists.flatten()
+    per_row = np.diff(lists.offsets.to_numpy())
+    counts = np.diff(words.offsets.to_numpy())
+    position = words.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), counts)
+    word = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((position, row))
+    position, row, word = position[order], row[order], word[order]
+    found = np.zeros(len(per_row), bool)
+    for step in range(1, window + 1):
+        close = (row[step:] == row[:-step]) & (position[step:] - position[:-step] <= window) & (word[step:] != word[:-step])
+        found[row[step:][close]] = True
+    return np.flatnonzero(found)
+
+
 def proximity_scores(index: SearchIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.4, window: int = 2) -> DataFrame:
     """(query_id, doc_id, score): BM25 (index form) plus, for each distinct query word in the document,
     min(log2((n - tf + 1) / (tf + 0.5)), 1) acc (k1 + 1) / (acc + k1 ((1 - b) + b dl / avgdl))."""
     base = sparse_scores(index, queries, bm25_index())
     terms = query_terms(queries).select("query_id", "term")
-    held = index.postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("words"))
+    held = index.postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.collect_list("positions").alias("words"))
     rows = index.with_stats(held.join(index.doc_stats, "doc_id")).select("query_id", "doc_id", "words", "dl", "n", "avgdl")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keep = pa.array(_with_neighbours(batch.column(2), window))
+            near = pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in range(6)], batch.schema.names)
             bonus = []
-            words, dl, n, avgdl = (batch.column(i).to_pylist() for i in range(2, 6))
+            words, dl, n, avgdl = (near.column(i).to_pylist() for i in range(2, 6))
             for own, length, docs, mean in zip(words, dl, n, avgdl):
-                total = 0.0
-                acc = accumulate({w["term"]: w["positions"] for w in own}, docs, window)
-                for w in own:
-                    tf, a = len(w["positions"]), acc[w["term"]]
-                    total += min(log2((docs - tf + 1) / (tf + 0.5)), 1.0) * a * (k1 + 1) / (a + k1 * ((1 - b) + b * length / mean)) if a else 0.0
-                bonus.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bonus, pa.float64())], ["query_id", "doc_id", "bonus"])
+                rarity = [min(log2((docs - len(w) + 1) / (len(w) + 0.5)), 1.0) if docs - len(w) + 1 > 0 else 0.0 for w in own]
+                bonus.append(sum(r * a * (k1 + 1) / (a + k1 * ((1 - b) + b * length / mean)) for r, a in zip(rarity, accumulate(own, docs, window)) if a))
+            yield pa.RecordBatch.from_arrays([near.column(0), near.column(1), pa.array(bonus, pa.float64())], ["query_id", "doc_id", "bonus"])
 
     kinds = dict(rows.dtypes)
     extra = rows.mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, bonus double")
-    return base.join(extra, ["query_id", "doc_id"]).select("query_id", "doc_id", (F.col("score") + F.col("bonus")).alias("score"))
+    return base.join(extra, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))

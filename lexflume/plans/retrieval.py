@@ -20,8 +20,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    return SearchIndex.build(_docs(spark, sf_dir), analyzer=ANALYZER)
+def _index(spark: SparkSession, sf_dir: str, keep: bool = False) -> SearchIndex:
+    return SearchIndex.build(_docs(spark, sf_dir), analyzer=ANALYZER, keep=keep)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(model: str, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ranking.search(_index(spark, sf_dir), _queries(spark, sf_dir), model, K, **options)
+        return ranking.search(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), model, K, **options)
 
     return query
 
@@ -112,18 +112,18 @@ def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = _index(spark, sf_dir), _queries(spark, sf_dir)
+    index, queries = _index(spark, sf_dir, keep=True), _queries(spark, sf_dir)
     run = ranking.search(index, queries, "bm25_vectors", 10)
     return feedback.expand(index, run, queries).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
 def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.significant_terms(_index(spark, sf_dir), _queries(spark, sf_dir), least_docs=5, top=3)
+    rows = feedback.significant_terms(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), least_docs=5, top=3)
     return rows.select("query_id", "source_term", "term", "foreground", "score")
 
 
 def prf_aggs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.expand_significant(_index(spark, sf_dir), _queries(spark, sf_dir), STOPWORDS, least_docs=5, top=3)
+    rows = feedback.expand_significant(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), STOPWORDS, least_docs=5, top=3)
     return rows.select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
