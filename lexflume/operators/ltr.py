@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexflume.operators.numbering import numbered
 from lexflume.session import materialize
 
 #: What a pair gets where a model hasn't ranked it (fixed values).
@@ -55,11 +56,10 @@ def robust_scaled(rows: DataFrame, columns: list[str], exact: bool = True) -> Da
 
 
 def query_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """The rows with `fold`: the queries in order, cut into `folds` runs of equal size. Only the distinct queries are numbered."""
-    ids = rows.select("query_id").distinct()
+    """The rows with `fold`: the queries in order, cut into `folds` runs of equal size."""
+    ids = numbered(rows.select("query_id").distinct(), "at", "query_id")
     n = ids.agg(F.count("*")).scalar()
-    numbered = ids.withColumn("at", F.row_number().over(W.orderBy("query_id")) - 1).withColumn("n", n)
-    return rows.join(numbered.select("query_id", F.floor(F.col("at") * folds / F.col("n")).cast("int").alias("fold")), "query_id")
+    return rows.join(ids.withColumn("n", n).select("query_id", F.floor(F.col("at") * folds / F.col("n")).cast("int").alias("fold")), "query_id")
 
 
 class KernelClassifier:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexflume.functions.analysis import word_list
+from lexflume.operators.numbering import chained, range_parts
 
 #: Words of the two fixed vocabularies (fixed values).
 VOCABULARY_A = (
@@ -68,10 +69,9 @@ def roc_auc(rows: DataFrame, score: str = "score", label: str = "label") -> Data
     """One row (auc, positives, negatives): the exact area by ranks, ties counting half. Scores are grouped first, so the
     window runs over partial counts per range of distinct scores: totals of ranges are chained, no range is gathered."""
     counts = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    laid = counts.repartitionByRange("s").withColumn("part", F.spark_partition_id())
-    parts = laid.groupBy("part").agg(F.sum("q").alias("q")).withColumn("below", F.coalesce(F.sum("q").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    upto = F.coalesce(F.sum("q").over(W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = laid.withColumn("own", upto).join(parts.select("part", "below"), "part").agg(F.sum(F.col("p") * (F.col("own") + F.col("below") + F.col("q") / 2)).alias("wins"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    laid = range_parts(counts, "s")
+    upto = F.coalesce(F.sum("q").over(W.partitionBy("_part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wins = laid.withColumn("own", upto).join(chained(laid, F.col("q")), "_part").agg(F.sum(F.col("p") * (F.col("own") + F.col("below") + F.col("q") / 2)).alias("wins"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
     return wins.select(F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("wins") / F.col("positives") / F.col("negatives")).alias("auc"), "positives", "negatives")
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lexflume.functions import html as H
 from lexflume.functions import urls as U
+from lexflume.functions.analysis import Analyzer
 from lexflume.operators import crawl, graph
-from lexflume.operators.ranking import collapse_hosts
+from lexflume.operators.index import SearchIndex
+from lexflume.operators.ranking import collapse_hosts, search
 from lexflume.session import table
 
 D = 0.85
@@ -64,6 +66,16 @@ def hits_base_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand_base(_edges(spark, sf_dir), root, least=1 << 40, most_inlinks=1 << 30, most_rounds=2)
 
 
+def hits_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authorities for a topic: the pages that match it best, their base set, HITS, the first 500 with their degrees."""
+    pages, edges = _pages(spark, sf_dir), _edges(spark, sf_dir)
+    latest = pages.where("url IS NOT NULL").groupBy("url").agg(F.max_by("content", "page_id").alias("content"))
+    index = SearchIndex.build(latest, "url", "content", Analyzer(positional=False), keep=True)
+    topic = spark.createDataFrame([("t", 0, "storm"), ("t", 1, "surge"), ("t", 2, "harbour")], "query_id string, qpos int, term string")
+    root = search(index, topic, "match", 1000).select(F.col("doc_id").alias("node"))
+    return graph.top_scores(graph.hits(edges, graph.expand_base(edges, root), tolerance=1e-6), "authority", 500, edges)
+
+
 def _html(pages: DataFrame) -> DataFrame:
     """The pages as HTML: every line of the content a paragraph, every out-link an anchor."""
     anchors = F.array_join(F.transform(F.coalesce("outlinks", F.array().cast("array<string>")), lambda u: F.concat(F.lit('<a class="x" href="'), u, F.lit('">more</a>'))), "\n")
@@ -126,7 +138,7 @@ def author_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", "author", "content", joined("inlinks"), joined("outlinks"))
 
 
-QUERIES = {f.__name__: f for f in (link_edges, link_degrees, pagerank_fixed, pagerank_converged, pagerank_top, hits_fixed, hits_converged, hits_base_expand, html_paragraphs, html_title_lang, page_links, url_canonical, url_domain, url_index_key, host_collapse, frontier_score, next_wave, author_upsert)}
+QUERIES = {f.__name__: f for f in (link_edges, link_degrees, pagerank_fixed, pagerank_converged, pagerank_top, hits_fixed, hits_converged, hits_topic, hits_base_expand, html_paragraphs, html_title_lang, page_links, url_canonical, url_domain, url_index_key, host_collapse, frontier_score, next_wave, author_upsert)}
 
 _EDGES = "edges AS (SELECT DISTINCT url AS src, l AS dst FROM (SELECT url, unnest(outlinks) AS l FROM hurricane_index WHERE url IS NOT NULL) WHERE l IS NOT NULL)"
 _NODES = "nodes AS (SELECT DISTINCT url AS node FROM hurricane_index WHERE url IS NOT NULL)"

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from lexflume.functions.analysis import Analyzer, porter_stem, stop_set
 from lexflume.functions.porter import stem_word
+from lexflume.functions.register import register_functions
 from lexflume.operators import feedback, ranking
 from lexflume.operators.index import SearchIndex, merge_postings, postings
 from lexflume.operators.proximity import accumulate, visited_close
@@ -45,6 +46,12 @@ def test_porter(spark):
     assert {r.term for r in Analyzer(double_stem=True, stopwords=stop_set(["the"])).tokens(docs, "doc_id", "text").collect()} == {"run", "storm"}
 
 
+def test_sql_functions(spark):
+    register_functions(spark)
+    row = spark.sql("SELECT porter_stem('storms'), index_key('HTTP://A.org/x/../y#z'), word_list('Été a_b, x9'), url_domain('http://a.b:80/c'), url_host('http://a.b:80/c')").first()
+    assert tuple(row) == ("storm", "http://a.org/y", ["Été", "a_b", "x9"], "a.b:80", "a.b:80")
+
+
 def test_index_statistics(index, rows):
     assert rows(index.doc_stats) == [(1, 4), (2, 7), (3, 2), (6, 6)]
     stats = index.stats.first()
