@@ -5,7 +5,9 @@ characters, a table row shorter than those before, a number or a quotation witho
 finds closed and ended by a terminator are whole; clear breaks are cut. The rest end without a terminator
 or with a mark of omission, and the collection decides, by counts over all records:
 
-* endings that recur (sign-offs, end marks, link lines, names behind a sign-off, table rows of the usual shape) are whole;
+* endings that recur (sign-offs, end marks, link lines, names behind a sign-off, table rows of the usual shape) are whole,
+  unless the last lines of other texts go on after the same words;
+* a line behind a table row that begins a first cell of some table is a row cut within that cell;
 * an omission mark is a trailing-off thought if the same words stand before one in the middle of other texts;
 * a source whose longest length, in characters or bytes, is hit again and again has a limit there: an open end at the
   limit is a cut whatever else it looks like, except a recurring ending;
@@ -29,6 +31,7 @@ from lexflume.session import materialize, maybe_broadcast
 
 HEADLINE_CHARS = 60
 RECURS = 3
+COMPLETE_SHARE, NAMED_SHARE = 0.5, 0.8
 LIMIT_SHARE, LIMIT_TEXTS = 0.02, 4
 WHOLE, CUT, OMISSION, OPEN = 0, 1, 2, 3
 
@@ -69,6 +72,28 @@ def _shape(field: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "0", field.strip()))
 
 
+def _lines(text: str) -> list[str]:
+    return [x for x in text.rstrip().rstrip(_INVISIBLE).rstrip().split("\n") if x.strip()]
+
+
+def _first_word(line: str) -> str:
+    return next(iter(re.findall(r"\w+", line.lower())), line)
+
+
+def _cells(row: str) -> list[str]:
+    return row.split(" | ") if row.count(" | ") > 1 else []
+
+
+def tables(text: str) -> tuple[list[str], str | None]:
+    """(first cells of the rows of three and more cells before the last line, the last line if it is one cell behind such a row)."""
+    if " | " not in text:
+        return [], None
+    lines = _lines(text)
+    cells = {c[0].strip() for c in map(_cells, lines[:-1]) if c} - {""}
+    behind = len(lines) > 1 and _cells(lines[-2]) and " | " not in lines[-1].strip()
+    return sorted(cells), (lines[-1].strip(" |") or None) if behind else None
+
+
 def _is_picture(c: str) -> bool:
     return unicodedata.category(c) in ("So", "Sk", "Mn", "Me") or c in "‍️"
 
@@ -102,7 +127,7 @@ def ending(text: str) -> tuple[int, list[int]]:
         if re.search(r"\d\.$", body) and re.search(r"\d\.\d", body) or _ABBREVIATED.search(body[-60:]):
             return CUT, []
         return (CUT if any(c in "([{«„“" for c in left_open(body)) else WHOLE), []
-    lines = [x for x in body.split("\n") if x.strip()]
+    lines = _lines(body)
     line = lines[-1].strip()
     if last in ")]}":
         opened = line.rfind({")": "(", "]": "[", "}": "{"}[last])
@@ -125,33 +150,40 @@ def ending(text: str) -> tuple[int, list[int]]:
             if len(own) > 1:
                 return (WHOLE if alike and _shape(own[-1]) in {_shape(r[-1]) for r in alike} else CUT), []
     words = re.findall(r"\w+", line.lower())
-    first = words[0] if words else line
+    first = _first_word(line)
     lead = line.split(": ", 1)[0] if ": " in line else ""
     row = _hash(str(line.count(" | ")), _shape(line.split(" | ")[-1])) if " | " in line and re.search(r"\d", line.split(" | ")[-1]) else 0
     return OPEN, [
-        _hash(_plain(line)), _hash(_plain(lines[-2])) if len(lines) > 1 else 0, _hash(_plain(lead)) if lead else 0, _hash(lead.lower(), words[-1] if words else ""),
+        _hash(_plain(line)), _hash(_plain(lines[-2])) if len(lines) > 1 and not _cells(lines[-2]) else 0, _hash(_plain(lead)) if lead else 0, _hash(lead.lower(), words[-1] if words else ""),
         _hash(first), _hash(first, str(len(words))), row, len(words), len(lines),
     ]
 
 
-_FEATURES = "doc long, source string, chars int, bytes int, copy long, verdict int, keys array<long>, inner array<long>"
+_FEATURES = "doc long, source string, chars int, bytes int, copy long, verdict int, keys array<long>, inner array<long>, cells array<string>, stub string, tail string, begins long"
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in text_slices(batch, 1):
-            verdicts, keys, inner, sizes = [], [], [], []
+            verdicts, keys, inner, sizes, cells, stubs, tails, begins = [], [], [], [], [], [], [], []
             for text in texts:
                 verdict, own = ending(text)
                 verdicts.append(verdict)
                 keys.append(own)
                 inner.append([_hash(_plain(m)) for m in _INNER_OMISSION.findall(text)] if "..." in text or "…" in text else [])
+                firsts, stub = tables(text)
+                cells.append(firsts)
+                stubs.append(stub)
+                lines = _lines(text)
+                tails.append(_plain(lines[-1]) if lines else "")
+                begins.append(_hash(_first_word(lines[-1].strip())) if len(lines) > 1 else 0)
                 raw = text.encode()
                 sizes.append((len(text), len(raw), xxhash.xxh64_intdigest(raw) - (1 << 63)))
             chars, size, copy = zip(*sizes) if sizes else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(2), pa.array(chars, pa.int32()), pa.array(size, pa.int32()), pa.array(copy, pa.int64()), pa.array(verdicts, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.int64()))],
-                ["doc", "source", "chars", "bytes", "copy", "verdict", "keys", "inner"],
+                [rows.column(0), rows.column(2), pa.array(chars, pa.int32()), pa.array(size, pa.int32()), pa.array(copy, pa.int64()), pa.array(verdicts, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.int64())),
+                 pa.array(cells, pa.list_(pa.string())), pa.array(stubs, pa.string()), pa.array(tails, pa.string()), pa.array(begins, pa.int64())],
+                ["doc", "source", "chars", "bytes", "copy", "verdict", "keys", "inner", "cells", "stub", "tail", "begins"],
             )
 
 
@@ -168,6 +200,22 @@ def _recurring(ends: DataFrame, key: str, least: int = RECURS) -> DataFrame:
     return ends.where(F.col(key) != 0).select(F.col(key).alias("key"), "copy").distinct().groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
 
 
+def _prefixes(texts: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of `texts` once for each length in `wanted` (size) that `column` reaches, with the hash of that prefix as `key`."""
+    sizes = maybe_broadcast(materialize(wanted.select("size").distinct()))
+    return texts.join(sizes, F.length(column) >= F.col("size")).withColumn("key", F.xxhash64(F.substring(F.col(column), F.lit(1), F.col("size"))))
+
+
+def _complete(ends: DataFrame, features: DataFrame) -> DataFrame:
+    """(key): recurring last lines at which at least COMPLETE_SHARE of the texts end whose last line begins with them."""
+    ending_at = ends.groupBy(F.col("line").alias("own")).agg(F.count_distinct("copy").alias("texts"), F.min(F.xxhash64("tail")).alias("key"), F.min(F.length("tail")).alias("size")).where(F.col("texts") >= RECURS)
+    ending_at = materialize(ending_at)
+    longer = _prefixes(features.select("tail", "copy").distinct(), "tail", ending_at).where(F.length("tail") > F.col("size"))
+    more = longer.join(maybe_broadcast(ending_at.select("key")), "key", "left_semi").groupBy("key").agg(F.count("*").alias("more"))
+    kept = ending_at.join(more, "key", "left").where(F.col("texts") >= COMPLETE_SHARE * (F.col("texts") + F.coalesce("more", F.lit(0))))
+    return kept.select(F.col("own").alias("key"))
+
+
 def _joined(rows: DataFrame, small: DataFrame, column: str, name: str) -> DataFrame:
     known = maybe_broadcast(materialize(small.select(F.col("key").alias(column)))).withColumn(name, F.lit(True))
     return rows.join(known, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
@@ -184,26 +232,30 @@ def judged(docs: DataFrame, doc_col: str, text_col: str, source_col: str) -> Dat
     filled = F.col("text").isNotNull() & (F.btrim("text", F.lit(" \t\r\n")) != "")
     features = materialize(rows.where(filled).mapInArrow(_feature_batches, _FEATURES))
     names = ("line", "ahead", "lead", "word", "first", "length", "row", "words", "lines")
-    open_ = features.where(F.col("verdict") == OPEN).select("doc", "source", "chars", "bytes", "copy", *(F.col("keys")[k].alias(n) for k, n in enumerate(names)))
+    open_ = features.where(F.col("verdict") == OPEN).select("doc", "source", "chars", "bytes", "copy", "tail", F.when(F.col("stub").isNotNull(), F.xxhash64("stub")).alias("behind"), *(F.col("keys")[k].alias(n) for k, n in enumerate(names)))
 
     short = F.col("words") <= 3
-    lines = _recurring(open_, "line")
+    lines = _complete(open_, features)
     # the line before is a sign-off if it nearly always stands before a short last line
     ahead = open_.where("ahead <> 0").groupBy(F.col("ahead").alias("key")).agg(F.count("*").alias("n"), F.avg(short.cast("int")).alias("share")).where((F.col("n") >= RECURS) & (F.col("share") >= 0.8))
     leads, words, rowed = _recurring(open_, "lead"), _recurring(open_.where("lead <> 0"), "word", 2), _recurring(open_, "row")
-    # 'Forecaster X': a first word whose lines nearly always have the same few words
-    firsts = open_.where("lines > 1").groupBy("first").agg(F.count("*").alias("n"))
-    lengths = open_.where("lines > 1 AND words <= 3").groupBy(F.col("length").alias("key"), "first").agg(F.count("*").alias("m")).join(firsts, "first")
-    lengths = lengths.where((F.col("m") >= RECURS) & (F.col("m") >= 0.8 * F.col("n")))
+    # 'Forecaster X': a first word whose lines, in texts of any verdict, nearly always have the same few words
+    firsts = features.where("begins <> 0").groupBy(F.col("begins").alias("first")).agg(F.count_distinct("copy").alias("n"))
+    lengths = open_.where("lines > 1 AND words <= 3").groupBy(F.col("length").alias("key"), "first").agg(F.count_distinct("copy").alias("m")).join(firsts, "first")
+    lengths = lengths.where((F.col("m") >= RECURS) & (F.col("m") >= NAMED_SHARE * F.col("n")))
+    # the beginnings of first cells, of the lengths that stand behind table rows
+    stubs = materialize(features.where((F.col("verdict") == OPEN) & F.col("stub").isNotNull()).select(F.xxhash64("stub").alias("key"), F.length("stub").alias("size")).distinct())
+    cells = features.select(F.explode("cells").alias("cell")).distinct()
+    begun = _prefixes(cells, "cell", stubs).join(maybe_broadcast(stubs.select("key")), "key", "left_semi").select("key").distinct()
     marked = open_
-    for small, column, name in ((lines, "line", "known_line"), (ahead, "ahead", "signed"), (leads, "lead", "led"), (words, "word", "listed"), (lengths, "length", "named"), (rowed, "row", "tabled")):
+    for small, column, name in ((lines, "line", "known_line"), (ahead, "ahead", "signed"), (leads, "lead", "led"), (words, "word", "listed"), (lengths, "length", "named"), (rowed, "row", "tabled"), (begun, "behind", "begun")):
         marked = _joined(marked, small, column, name)
     limit = {m: maybe_broadcast(materialize(source_limits(features, m)).withColumnRenamed("limit", f"most_{m}")) for m in ("chars", "bytes")}
     for limits in limit.values():
         marked = marked.join(limits, "source", "left")
     at_limit = F.coalesce(F.col("chars") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.col("bytes") >= F.col("most_bytes") - 3, F.lit(False))
     headline = (F.col("lines") == 1) & (F.col("chars") <= HEADLINE_CHARS)
-    whole = F.col("known_line") | (~at_limit & (headline | (F.col("signed") & short) | (F.col("led") & F.col("listed")) | F.col("named") | F.col("tabled")))
+    whole = ~F.col("begun") & (F.col("known_line") | (~at_limit & (headline | (F.col("signed") & short) | (F.col("led") & F.col("listed")) | F.col("named") | F.col("tabled"))))
     open_cut = marked.select("doc", "source", (~whole).alias("cut"))
 
     inner = features.select(F.explode("inner").alias("key"), "copy").distinct().groupBy("key").agg(F.count("*").alias("texts"))
