@@ -12,7 +12,8 @@ from lexflume.session import table
 from lexflume.sources.sinks import run_lines
 
 STOPWORDS = stop_set(("the", "of", "and", "a", "in", "to", "at", "was", "by", "for"))
-K = 100
+#: Documents of a run, and the depth to which the DuckDB twins say it.
+DEPTH, K = 1000, 100
 ANALYZER = Analyzer(stopwords=STOPWORDS)
 
 
@@ -81,7 +82,7 @@ def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(model: str, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ranking.search(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), model, K, **options)
+        return ranking.search(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), model, DEPTH, **options)
 
     return query
 
@@ -103,7 +104,7 @@ def vector_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over the news collection's term vectors, for three-term queries made of each document group's catalog terms."""
     index = SearchIndex.from_vectors(table(spark, sf_dir, "term_vectors_new"))
     queries = spark.createDataFrame([("1", 0, "storm"), ("1", 1, "coast"), ("2", 0, "flood"), ("2", 1, "water"), ("2", 2, "flood"), ("3", 0, "hurrican"), ("3", 1, "wind")], "query_id string, qpos int, term string")
-    return ranking.search(index, queries, "bm25_vectors", K)
+    return ranking.search(index, queries, "bm25_vectors", DEPTH)
 
 
 def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
