@@ -51,7 +51,7 @@ def pr_curve_11pt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     qrels = judgments(spark, sf_dir).withColumn("grade", F.col("grade") - 1)
-    return ltr.label_pairs(qrels, best(spark, sf_dir, BM25), negatives=60, exclude_relevant=True)
+    return ltr.label_pairs(qrels, best(spark, sf_dir, BM25), exclude_relevant=True)
 
 
 def ltr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
