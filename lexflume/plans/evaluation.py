@@ -76,7 +76,7 @@ def ltr_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ltr_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = ltr.robust_scaled(_features(spark, sf_dir), ["bm25", "jm", "tfidf"])
-    return ltr.cross_validated(scaled, ["bm25", "jm", "tfidf"], folds=2, dimensions=40)
+    return ltr.cross_validated(scaled, ["bm25", "jm", "tfidf"])
 
 
 QUERIES = {f.__name__: f for f in (eval_binary_per_query, eval_binary_mean, eval_graded_per_query, eval_graded_mean, pr_points, pr_curve_11pt, ltr_pairs, ltr_features, ltr_robust_scaled, ltr_folds, ltr_cross_validated)}
@@ -124,7 +124,7 @@ _PAIRS = f"""{_INPUT}, judged AS (SELECT query_id, doc_id, (grade - 1)::INT AS l
   have AS (SELECT query_id, count(*) AS have FROM judged WHERE label = 0 GROUP BY query_id),
   fresh AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS place FROM run
             WHERE query_id IN (SELECT query_id FROM judged) AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.query_id = run.query_id AND j.doc_id = run.doc_id)),
-  pairs AS (SELECT * FROM judged UNION ALL SELECT query_id, doc_id, 0 FROM fresh LEFT JOIN have USING (query_id) WHERE place <= 60 - coalesce(have, 0))"""
+  pairs AS (SELECT * FROM judged UNION ALL SELECT query_id, doc_id, 0 FROM fresh LEFT JOIN have USING (query_id) WHERE place <= 1000 - coalesce(have, 0))"""
 _FEATURES = f"""{_PAIRS}, feats AS (SELECT pairs.query_id, pairs.doc_id, label, coalesce(run.score, 0.0) AS bm25, coalesce(j.score, -5000.0) AS jm, coalesce(t.score, 0.0) AS tfidf
   FROM pairs LEFT JOIN run USING (query_id, doc_id) LEFT JOIN ({_best(JM, 1000)}) j USING (query_id, doc_id) LEFT JOIN ({_best(TFIDF, 1000)}) t USING (query_id, doc_id))"""
 _SCALED = ", ".join(f"round(({c} - quantile_cont({c}, 0.5) OVER ()) / CASE WHEN quantile_cont({c}, 0.75) OVER () = quantile_cont({c}, 0.25) OVER () THEN 1 ELSE quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER () END, 6) AS {c}" for c in ("bm25", "jm", "tfidf"))

@@ -12,8 +12,8 @@ from lexflume.session import table
 from lexflume.sources.sinks import run_lines
 
 STOPWORDS = stop_set(("the", "of", "and", "a", "in", "to", "at", "was", "by", "for"))
-#: Documents of a run, and the depth to which the DuckDB twins say it.
-DEPTH, K = 1000, 100
+#: Documents of a run.
+DEPTH = 1000
 ANALYZER = Analyzer(stopwords=STOPWORDS)
 
 
@@ -119,12 +119,12 @@ def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.significant_terms(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), least_docs=5, top=3)
+    rows = feedback.significant_terms(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir))
     return rows.select("query_id", "source_term", "term", "foreground", "score")
 
 
 def prf_aggs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.expand_significant(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), STOPWORDS, least_docs=5, top=3)
+    rows = feedback.expand_significant(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), STOPWORDS)
     return rows.select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
@@ -157,7 +157,7 @@ _QUERIES = f"""
 _MATCHED = "m AS (SELECT query_id, doc_id, qtf, tf, dl, df, ttf, n, avgdl, v FROM q JOIN post USING (term) JOIN terms USING (term) JOIN docs USING (doc_id), stats)"
 
 
-def _rank(scores: str, k: int = K) -> str:
+def _rank(scores: str, k: int = DEPTH) -> str:
     return f"""SELECT query_id, doc_id, score, rank FROM (
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank
     FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM ({scores}))) WHERE rank <= {k}"""
@@ -190,10 +190,10 @@ _FEEDBACK = f"""{_BASE},
 _OWN = "own AS (SELECT item_id AS query_id, string_agg(term, ' ' ORDER BY pos) AS own FROM qtok GROUP BY item_id)"
 _SIGNIFICANT = f"""WITH {_INDEX}, {_QUERIES},
   sources AS (SELECT DISTINCT term AS source_term FROM q),
-  pairs AS (SELECT source_term, b.term, count(*) AS foreground FROM sources JOIN post a ON a.term = source_term JOIN post b ON b.doc_id = a.doc_id GROUP BY source_term, b.term HAVING count(*) >= 5),
+  pairs AS (SELECT source_term, b.term, count(*) AS foreground FROM sources JOIN post a ON a.term = source_term JOIN post b ON b.doc_id = a.doc_id GROUP BY source_term, b.term HAVING count(*) >= 3),
   shares AS (SELECT source_term, pairs.term, foreground, foreground / s.df AS fg, t.df / n AS bg FROM pairs JOIN terms s ON s.term = source_term JOIN terms t ON t.term = pairs.term, stats),
   rated AS (SELECT source_term, term, foreground, round((fg - bg) * (fg / bg), 9) AS score FROM shares WHERE fg > bg),
-  kept AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY source_term ORDER BY score DESC, term) <= 3),
+  kept AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY source_term ORDER BY score DESC, term) <= 10),
   sig AS (SELECT query_id, source_term, kept.term, foreground, score FROM q JOIN kept ON kept.source_term = q.term)"""
 
 ORACLE = {
