@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import nextafter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,16 +12,24 @@ CUTS = (5, 10, 20, 50, 100)
 GRADED_CUTS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
 
 
-def _last_judgment(qrels: DataFrame) -> DataFrame:
-    """(query_id, doc_id, grade): repeated judgments once, with the highest grade."""
-    return qrels.where("query_id IS NOT NULL AND doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("query_id", "doc_id").agg(F.max("grade").alias("grade"))
+def _usable(qrels: DataFrame) -> DataFrame:
+    return qrels.where("query_id IS NOT NULL AND doc_id IS NOT NULL AND grade IS NOT NULL")
+
+
+def last_judgments(qrels: DataFrame, order: str | None = None) -> DataFrame:
+    """(query_id, doc_id, grade): a repeated judgment once, the last one by the column `order` (of equal places, and without
+    an order, the highest grade)."""
+    last = F.max_by("grade", F.struct(order, "grade")) if order else F.max("grade")
+    return _usable(qrels).groupBy("query_id", "doc_id").agg(last.alias("grade"))
 
 
 def labelled(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(query_id, doc_id, rank, rel, n_rel, rr, precision, recall, f1) in rank order; rel is 1 for judged grades other than 0, n_rel all relevant documents of the query."""
-    judged = _last_judgment(qrels).where("grade <> 0")
+    """(query_id, doc_id, rank, rel, n_rel, rr, precision, recall, f1) in rank order; rel is 1 for documents with a grade
+    other than 0, n_rel the number of such judgments of the query (a repeated one counts as often as it stands)."""
+    judged = _usable(qrels).where("grade <> 0")
     counts = judged.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    rows = run.select("query_id", "doc_id", "rank").join(judged.select("query_id", "doc_id", F.lit(1).alias("rel")), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    relevant = judged.select("query_id", "doc_id", F.lit(1).alias("rel")).distinct()
+    rows = run.select("query_id", "doc_id", "rank").join(relevant, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     place = W.partitionBy("query_id").orderBy("rank", "doc_id")
     rows = rows.withColumns({"rank": F.row_number().over(place), "rr": F.sum("rel").over(place.rowsBetween(W.unboundedPreceding, 0))})
     rows = rows.join(counts, "query_id", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
@@ -70,28 +80,38 @@ def pr_points(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return labelled(run, qrels).where("rel = 1 AND n_rel > 0").select("query_id", "rank", "recall", "precision")
 
 
-def interpolated_curve(points: DataFrame, queries: int | None = None) -> DataFrame:
-    """(level, precision): eleven-point curve. A point's recall goes to the nearest level, halves down; of several points
-    at a level the one of the highest rank counts; each level takes the best of itself and those above; queries are averaged."""
-    level = F.floor(F.col("recall") * 10 + 0.5 - 1e-9).cast("int")
+def tenth(value: Column) -> Column:
+    """A share from 0 to 1 as a number of tenths, rounded as its exact binary value, halves to the even one: 0.05 and 0.45
+    lie above the half and go up, 0.15 and 0.85 lie below it. The value is compared with the least doubles that go up."""
+    halves = [(2 * k + 1) / 20 for k in range(10)]
+    ups = [h if round(h, 1) > h else nextafter(h, 1.0) for h in halves]
+    return sum(((value >= up).cast("int") for up in ups), F.lit(0))
+
+
+def interpolated_curve(points: DataFrame, queries: int | None = None, unreached: float = 0.0) -> DataFrame:
+    """(level, precision): eleven-point curve. A point's recall goes to the nearest level (see `tenth`); of several points
+    at a level the one of the highest rank counts; each level takes the best of itself and those above, or `unreached`;
+    queries are averaged (over `queries` of them, by default those with points)."""
+    level = tenth(F.col("recall"))
     at = points.groupBy("query_id", level.alias("level")).agg(F.max_by("precision", "rank").alias("precision"))
     grid = points.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("level"))
     full = grid.join(at, ["query_id", "level"], "left")
     above = W.partitionBy("query_id").orderBy("level").rowsBetween(0, W.unboundedFollowing)
-    full = full.withColumn("precision", F.coalesce(F.max("precision").over(above), F.lit(0.0)))
+    full = full.withColumn("precision", F.coalesce(F.max("precision").over(above), F.lit(float(unreached))))
     mean = F.sum("precision") / F.lit(queries) if queries else F.avg("precision")
     return full.groupBy("level").agg(mean.alias("precision")).select((F.col("level") / 10).alias("level"), "precision")
 
 
-def evaluate_graded(run: DataFrame, qrels: DataFrame, depth: int = 1000, cuts: tuple[int, ...] = GRADED_CUTS) -> DataFrame:
+def evaluate_graded(run: DataFrame, qrels: DataFrame, depth: int = 1000, cuts: tuple[int, ...] = GRADED_CUTS, order: str | None = None) -> DataFrame:
     """One row per judged query with relevant documents: num_ret, num_rel (sum of grades), num_rel_ret, ap, r_precision,
     p_k at the cuts and ip_0 ... ip_10, the interpolated precision at recall levels 0 to 1.
 
     Results are ordered by score, then document, both descending, and cut at `depth`. A relevant result adds its grade
-    times (1 + grades retrieved before it) / rank to the average precision.
+    times (1 + grades retrieved before it) / rank to the average precision. Of repeated judgments the last by the column
+    `order` is a document's grade (`last_judgments`), while num_rel sums the grades of all rows.
     """
-    judged = _last_judgment(qrels)
-    counts = judged.groupBy("query_id").agg(F.sum("grade").cast("double").alias("num_rel")).where("num_rel > 0")
+    judged = last_judgments(qrels, order)
+    counts = _usable(qrels).groupBy("query_id").agg(F.sum("grade").cast("double").alias("num_rel")).where("num_rel > 0")
     place = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
     rows = run.where("score IS NOT NULL").join(counts, "query_id").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= depth)
     rows = rows.join(judged, ["query_id", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)).cast("double"))

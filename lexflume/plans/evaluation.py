@@ -21,6 +21,13 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(spark, sf_dir, TFIDF, 50).select("query_id", F.lit("run").alias("assessor"), "doc_id", F.when(F.col("rank") <= 10, 2).otherwise(1).alias("grade"))
 
 
+def repeated_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judgments as lines of a file (`at`), in which every third document of a query is judged again further down, with another grade."""
+    first = best(spark, sf_dir, TFIDF, 50).select("query_id", F.lit("run").alias("assessor"), "doc_id", F.when(F.col("rank") <= 10, 2).otherwise(1).alias("grade"), F.col("rank").cast("long").alias("at"))
+    again = first.where("at % 3 = 0").select("query_id", F.lit("second").alias("assessor"), "doc_id", F.when(F.col("at") % 2 == 0, 0).otherwise(3 - F.col("grade")).alias("grade"), (F.col("at") + 100).alias("at"))
+    return first.unionByName(again)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes))
 
@@ -41,6 +48,14 @@ def eval_graded_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.mean_over_queries(evaluate.evaluate_graded(best(spark, sf_dir, BM25), judgments(spark, sf_dir))))
 
 
+def eval_graded_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.evaluate_graded(best(spark, sf_dir, BM25), repeated_judgments(spark, sf_dir), order="at"))
+
+
+def eval_binary_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.evaluate_binary(best(spark, sf_dir, BM25), repeated_judgments(spark, sf_dir)))
+
+
 def pr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.pr_points(best(spark, sf_dir, BM25), judgments(spark, sf_dir)))
 
@@ -79,7 +94,7 @@ def ltr_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ltr.cross_validated(scaled, ["bm25", "jm", "tfidf"])
 
 
-QUERIES = {f.__name__: f for f in (eval_binary_per_query, eval_binary_mean, eval_graded_per_query, eval_graded_mean, pr_points, pr_curve_11pt, ltr_pairs, ltr_features, ltr_robust_scaled, ltr_folds, ltr_cross_validated)}
+QUERIES = {f.__name__: f for f in (eval_binary_per_query, eval_binary_mean, eval_graded_per_query, eval_graded_mean, eval_graded_repeated, eval_binary_repeated, pr_points, pr_curve_11pt, ltr_pairs, ltr_features, ltr_robust_scaled, ltr_folds, ltr_cross_validated)}
 
 
 def _best(name: str, k: int) -> str:
@@ -110,6 +125,11 @@ _GRADED = f"""{_INPUT},
   g AS (SELECT run.query_id, run.doc_id, num_rel, coalesce(grade, 0)::DOUBLE AS grade, row_number() OVER (PARTITION BY run.query_id ORDER BY score DESC, run.doc_id DESC) AS rank
         FROM run JOIN cnt ON cnt.query_id = run.query_id LEFT JOIN qrels ON qrels.query_id = run.query_id AND qrels.doc_id = run.doc_id),
   x AS (SELECT *, sum(grade) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM g)"""
+#: The judgment file with repeated lines: the last line is a document's grade, the totals take all lines.
+_LINES = f"""lines AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN 2 ELSE 1 END AS grade, rank AS at_ FROM ({_best(TFIDF, 50)})
+    UNION ALL SELECT query_id, doc_id, CASE WHEN rank % 2 = 0 THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, rank + 100 FROM ({_best(TFIDF, 50)}) WHERE rank % 3 = 0)"""
+_GRADED_REPEATED = _GRADED.replace(_INPUT, f"run AS ({_best(BM25, 1000)}), {_LINES}, qrels AS (SELECT query_id, doc_id, arg_max(grade, at_) AS grade FROM lines GROUP BY query_id, doc_id)").replace("AS num_rel FROM qrels", "AS num_rel FROM lines")
+_BINARY_REPEATED = _BINARY.replace(_INPUT, f"run AS ({_best(BM25, 1000)}), {_LINES}, qrels AS (SELECT DISTINCT query_id, doc_id FROM lines WHERE grade <> 0)").replace("count(*) AS n FROM qrels", "count(*) AS n FROM lines WHERE grade <> 0")
 _GRADED_ROWS = f"""
   SELECT query_id, count(*) AS num_ret, max(num_rel) AS num_rel, sum(grade) AS num_rel_ret,
     sum(grade * (1 + upto - grade) / rank) / max(num_rel) AS ap,
@@ -120,6 +140,8 @@ _GRADED_ROWS = f"""
 _GRADED_MEASURES = ["ap", *(f"p_{k}" for k in evaluate.GRADED_CUTS), *(f"ip_{level}" for level in range(11)), "r_precision"]
 _rounds = lambda names, f="{}": ", ".join(f"round({f.format(c)}, 6) AS {c}" for c in names)
 _POINTS = "SELECT query_id, rank, rr / n::DOUBLE AS recall, rr / rank::DOUBLE AS precision FROM x WHERE rel = 1 AND n > 0"
+#: Where a recall's exact binary value rounds to the next tenth: from the half on where the half's double lies above it (or the tenth is even), else behind it.
+_TENTH = "(" + " + ".join(f"(recall::DOUBLE {op} {half}::DOUBLE)::INT" for half, op in (("0.05", ">="), ("0.15", ">"), ("0.25", ">"), ("0.35", ">"), ("0.45", ">="), ("0.55", ">="), ("0.65", ">="), ("0.75", ">="), ("0.85", ">"), ("0.95", ">"))) + ")"
 _PAIRS = f"""{_INPUT}, judged AS (SELECT query_id, doc_id, (grade - 1)::INT AS label FROM qrels),
   have AS (SELECT query_id, count(*) AS have FROM judged WHERE label = 0 GROUP BY query_id),
   fresh AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS place FROM run
@@ -134,9 +156,11 @@ ORACLE = {
     "eval_binary_mean": f"WITH {_BINARY} SELECT count(*) AS queries, sum(retrieved)::BIGINT AS retrieved, sum(n_rel)::BIGINT AS n_rel, sum(rel_ret)::BIGINT AS rel_ret, {_rounds(_BINARY_MEASURES, 'avg({})')} FROM ({_BINARY_ROWS})",
     "eval_graded_per_query": f"WITH {_GRADED} SELECT query_id, num_ret, num_rel, num_rel_ret, {_rounds(_GRADED_MEASURES)} FROM ({_GRADED_ROWS})",
     "eval_graded_mean": f"WITH {_GRADED} SELECT count(*) AS queries, avg(num_ret) AS num_ret, sum(num_rel) AS num_rel, sum(num_rel_ret) AS num_rel_ret, {_rounds(_GRADED_MEASURES, 'avg({})')} FROM ({_GRADED_ROWS})".replace("avg(num_ret) AS num_ret", "round(avg(num_ret), 6) AS num_ret"),
+    "eval_graded_repeated": f"WITH {_GRADED_REPEATED} SELECT query_id, num_ret, num_rel, num_rel_ret, {_rounds(_GRADED_MEASURES)} FROM ({_GRADED_ROWS})",
+    "eval_binary_repeated": f"WITH {_BINARY_REPEATED} SELECT query_id, retrieved, n_rel, rel_ret, {_rounds(_BINARY_MEASURES)} FROM ({_BINARY_ROWS})",
     "pr_points": f"WITH {_BINARY} SELECT query_id, rank::BIGINT AS rank, round(recall, 6) AS recall, round(precision, 6) AS precision FROM ({_POINTS})",
     "pr_curve_11pt": f"""WITH {_BINARY}, p AS ({_POINTS}),
-      at_ AS (SELECT query_id, floor(recall * 10 + 0.5 - 1e-9)::INT AS level, arg_max(precision, rank) AS precision FROM p GROUP BY ALL),
+      at_ AS (SELECT query_id, {_TENTH} AS level, arg_max(precision, rank) AS precision FROM p GROUP BY ALL),
       grid AS (SELECT query_id, unnest(range(11))::INT AS level FROM (SELECT DISTINCT query_id FROM p)),
       f AS (SELECT query_id, level, coalesce(max(precision) OVER (PARTITION BY query_id ORDER BY level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS precision FROM grid LEFT JOIN at_ USING (query_id, level))
       SELECT round(level / 10.0::DOUBLE, 6) AS level, round(avg(precision), 6) AS precision FROM f GROUP BY level""",
