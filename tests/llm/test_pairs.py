@@ -158,10 +158,33 @@ def test_furniture_on_a_made_site(spark):
     assert found == wanted
     content = {r.page: r.content for r in boilerplate.main_content(df, "page_id", "url", "host", "content").collect()}
     assert content[500] == "Only a line." and "Home" not in content[0] and set(content) == {*range(len(pages)), 500}
-    classes = boilerplate.template_classes(boilerplate.page_lines(df, "page_id", "url", "host", "content"))
+    classes = boilerplate.nested_template(boilerplate.page_lines(df, "page_id", "url", "host", "content"))
     assert classes.where("depth = 0").count() >= 2
 
 
+def test_a_class_of_several_lines_needs_less_support(spark):
+    """Two lines that always stand together, in one order, on three of ten pages are a template's; a single line, or two in changing order, are not."""
+    rng = random.Random(11)
+    pages = []
+    for k in range(10):
+        body = [f"The {rng.choice(NAMES)} said {' '.join(rng.choice(NAMES) for _ in range(12))}." for _ in range(4)]
+        block = ["Win a lamp today.", "Send your name to our desk."] if k in (1, 4, 8) else []
+        moved = ["Bread is sold here.", "Cheese is sold there."][:: -1 if k % 4 == 0 else 1] if k in (0, 2, 4) else []
+        lonely = ["A quiet hour."] if k in (3, 5, 6) else []
+        pages.append((k, f"http://one.example/story-{NAMES[k]}", "one.example", "\n".join(["Home | News | Radio", f"{NAMES[k]} opens", body[0], *lonely, *body[1:3], *moved[:1], body[3], *moved[1:], *block, "All rights reserved by One."])))
+    df = spark.createDataFrame(pages, "page_id long, url string, host string, content string")
+    lines = {(i, n): t for i, _, _, text in pages for n, t in enumerate(text.split("\n"), 1)}
+    found = {lines[tuple(r)] for r in boilerplate.furniture_lines(df, "page_id", "url", "host", "content").collect()}
+    assert found == {"Home | News | Radio", "All rights reserved by One.", "Win a lamp today.", "Send your name to our desk."}
+    template = {(r.size, r.depth) for r in boilerplate.nested_template(boilerplate.page_lines(df, "page_id", "url", "host", "content")).collect()}
+    assert (2, 0) in template and any(size == 2 and depth > 0 for size, depth in template)
+
+
+def test_ids_of_text_stay(spark):
+    df = spark.createDataFrame([(f"p{k}", f"http://h.example/{NAMES[k]}", "h.example", f"Menu of the house\n{NAMES[k]} opened in {NAMES[k + 9]}.") for k in range(5)], "page_id string, url string, host string, content string")
+    assert {tuple(r) for r in boilerplate.furniture_lines(df, "page_id", "url", "host", "content").collect()} == {(f"p{k}", 1) for k in range(5)}
+
+
 def test_furniture_without_the_learned_sets_sent(spark, monkeypatch):
     rng = random.Random(9)
     pages = _site(rng, "alpha-post.example", 8, "Home | News | Sport | Radio", ["Copyright 2024 Alpha post"]) + _site(rng, "beta.example", 8, "News | Home | Radio", ["Copyright 2024 Beta"])
