@@ -1,9 +1,12 @@
 """Records cut off by field limits or transfers, by a structural completeness check.
 
-A stack automaton reads each text and reports what is left open at its end: quotes, brackets, markup, escapes, broken
-characters, a table row shorter than those before, a number or a quotation without the rest of its sentence. Texts it
-finds closed and ended by a terminator are whole; clear breaks are cut. The rest end without a terminator
-or with a mark of omission, and the collection decides, by counts over all records:
+A stack automaton reads each text from its beginning to its end. It pushes openers (brackets, quotes of all kinds, straight
+ones too, markup elements), pops them at their closers, and knows whether the text ends inside a tag, an entity, an
+escape or a broken character. A text that ends inside one of these is cut; so is one that leaves an opener on the stack,
+unless its source does so as a rule (a baseline per source and kind of opener). Texts that are closed and end with a
+terminator are whole; a table row shorter than those before, and a number or a quotation without the rest of its sentence,
+are cut. The rest are closed but end without a terminator or with a mark of omission. Where a source hardly ever
+sets terminators, the lack of one says nothing; elsewhere the collection decides, by counts over all records:
 
 * endings that recur (sign-offs, end marks, link lines, names behind a sign-off, table rows of the usual shape) are whole,
   unless the last lines of other texts go on after the same words;
@@ -11,7 +14,8 @@ or with a mark of omission, and the collection decides, by counts over all recor
 * an omission mark is a trailing-off thought if the same words stand before one in the middle of other texts;
 * a source whose longest length, in characters or bytes, is hit again and again has a limit there: an open end at the
   limit is a cut whatever else it looks like, except a recurring ending;
-* a text of one short line is a headline.
+* a text of one line with no sentence end in it is a headline unless its last word hardly ever ends a sentence, a line or
+  another text for the many times it stands, or longer words begin with it, in texts, or is only known as such a beginning.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 from lexflume.functions.arrow import text_slices
 from lexflume.session import materialize, maybe_broadcast
 
-HEADLINE_CHARS = 60
 RECURS = 3
+STYLE_SHARE, STYLE_TEXTS = 0.5, 20
+UNENDED_SHARE = 0.95
+ENDING_SHARE, OFTEN = 0.005, 200
 COMPLETE_SHARE, NAMED_SHARE = 0.5, 0.8
 LIMIT_SHARE, LIMIT_TEXTS = 0.02, 4
 WHOLE, CUT, OMISSION, OPEN = 0, 1, 2, 3
@@ -38,11 +44,15 @@ WHOLE, CUT, OMISSION, OPEN = 0, 1, 2, 3
 _TERMINATORS = ".!?。！？।؟۔…‽｡"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“"}
 _CLOSERS = ")]}»”“\"'’"
-_STRUCTURE = re.compile(r"[()\[\]{}«»“”„\"\n]")
+_OPENER = {closer: opener for opener, closer in _PAIRS.items()}
+#: Elements without content, and those whose end may be left out.
+_VOID = frozenset("area base br col embed hr img input li link meta option p source td th tr track wbr".split())
+_SIGN = re.compile(r"[:;=]-?[()\[\]](?!\w)|[()\[\]{}«»“”„\"]|<!--|-->|</?[a-zA-Z][^<>]*>?|&#?\w*;?|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2}|.)?|%(?:[0-9a-fA-F]{1,2})?|\ufffd", re.S)
+_UNFINISHED = re.compile(r"<[^>]{0,200}|&#?\w{1,8}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9a-fA-F]?|\ufffd", re.S)
+_SENTENCE_END = re.compile(r"[.!?。！？]\s")
 _INVISIBLE = "​‌‍⁠﻿­‎‏"
 _OMISSION = re.compile(r"\s*(?:\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{3,}|…)\s*\)|\.{3,}|…)$")
 _INNER_OMISSION = re.compile(r"([^.!?…\n]{3,80})(?:\.{3,}|…)(?=\s*\S)")
-_ESCAPE = re.compile(r"&#?\w{1,8}$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|%[0-9a-fA-F]?$|<[/a-zA-Z!][^<>]{0,200}$")
 _SMILEY = re.compile(r"\s*[:;=]-?[)D(P]$")
 _HASHTAG = re.compile(r"(?:\s+#\w+)+$")
 _ABBREVIATED = re.compile(r"(?:^|[.!?]\s+)(?:\S+\s+){0,2}\d+\s[ap]\.(?:m\.)?$")
@@ -52,16 +62,45 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def left_open(text: str) -> list[str]:
-    """The stack of openers without a closer in the last paragraph of the text (straight quotes close themselves)."""
+def automaton(text: str) -> tuple[list[str], str]:
+    """(stack, inside): what the text leaves open, outermost first (characters, or names of elements), and the unfinished tag,
+    entity, escape or broken character that it ends in, or an empty string.
+
+    A closer pops its opener and what was opened inside; a closer without an opener, a quote behind a number (inches) and
+    emoticons are none. Elements that need no end tag aren't pushed.
+    """
     stack: list[str] = []
-    for found in _STRUCTURE.finditer(text, text.rfind("\n") + 1):
-        c = found.group()
-        if stack and (c == '"' == stack[-1] or _PAIRS.get(stack[-1]) == c):
-            stack.pop()
-        elif c in _PAIRS or c == '"':
+    inside = ""
+    for found in _SIGN.finditer(text):
+        sign = found.group()
+        c = sign[0]
+        if found.end() == len(text) and c in "<&\\%\ufffd" and sign[-1] not in ">;" and _UNFINISHED.fullmatch(sign) and not (c == "%" and len(sign) == 1):
+            inside = sign
+        elif sign == "-->":
+            _pop(stack, "<!--")
+        elif c == "<":
+            name = sign.strip("</>").split(maxsplit=1)[0].lower() if sign != "<!--" else sign
+            if sign.startswith("</"):
+                _pop(stack, name)
+            elif sign[-1] == ">" and not sign.endswith("/>") and name not in _VOID or sign == "<!--":
+                stack.append(name)
+        elif len(sign) > 1 or c in "&\\%\ufffd":
+            continue
+        elif c == '"':
+            if not _pop(stack, c) and not text[max(0, found.start() - 1) : found.start()].isdigit():
+                stack.append(c)
+        elif not (c in _OPENER and _pop(stack, _OPENER[c])) and c in _PAIRS:
             stack.append(c)
-    return stack
+    return stack, inside
+
+
+def _pop(stack: list[str], opener: str) -> bool:
+    """Close the innermost such opener with all that was opened inside; False if there is none."""
+    for at in range(len(stack) - 1, -1, -1):
+        if stack[at] == opener:
+            del stack[at:]
+            return True
+    return False
 
 
 def _plain(line: str) -> str:
@@ -99,13 +138,12 @@ def _is_picture(c: str) -> bool:
 
 
 def ending(text: str) -> tuple[int, list[int]]:
-    """(verdict, keys): WHOLE, CUT, OMISSION with [key of the words before the mark], or OPEN with the keys of the ending:
-    [line, line before, lead, last word, first word, first word and length, shape of a table row, words of the line, lines of the text]."""
+    """(verdict, keys) by the end alone: WHOLE, CUT, OMISSION with [key of the words before the mark], or OPEN with the keys of the ending:
+    [line, line before, lead, last word, first word, first word and length, shape of a table row, words of the line, lines of the text,
+    whether it is one line without a sentence end]."""
     body = text.rstrip().rstrip(_INVISIBLE).rstrip()
     if not body:
         return WHOLE, []
-    if body[-1] == "�" or _ESCAPE.search(body[-210:]):
-        return CUT, []
     mark = _OMISSION.search(body[-12:])
     if mark and mark.group().strip():
         before = body[: len(body) - len(mark.group())]
@@ -126,7 +164,7 @@ def ending(text: str) -> tuple[int, list[int]]:
     if last in _TERMINATORS:
         if re.search(r"\d\.$", body) and re.search(r"\d\.\d", body) or _ABBREVIATED.search(body[-60:]):
             return CUT, []
-        return (CUT if any(c in "([{«„“" for c in left_open(body)) else WHOLE), []
+        return WHOLE, []
     lines = _lines(body)
     line = lines[-1].strip()
     if last in ")]}":
@@ -155,19 +193,21 @@ def ending(text: str) -> tuple[int, list[int]]:
     row = _hash(str(line.count(" | ")), _shape(line.split(" | ")[-1])) if " | " in line and re.search(r"\d", line.split(" | ")[-1]) else 0
     return OPEN, [
         _hash(_plain(line)), _hash(_plain(lines[-2])) if len(lines) > 1 and not _cells(lines[-2]) else 0, _hash(_plain(lead)) if lead else 0, _hash(lead.lower(), words[-1] if words else ""),
-        _hash(first), _hash(first, str(len(words))), row, len(words), len(lines),
+        _hash(first), _hash(first, str(len(words))), row, len(words), len(lines), int(len(lines) == 1 and not _SENTENCE_END.search(line)),
     ]
 
 
-_FEATURES = "doc long, source string, chars int, bytes int, copy long, verdict int, keys array<long>, inner array<long>, cells array<string>, stub string, tail string, begins long"
+_FEATURES = "source string, unclosed string, chars int, bytes int, copy long, verdict int, keys array<long>, inner array<long>, cells array<string>, stub string, tail string, begins long"
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in text_slices(batch, 1):
-            verdicts, keys, inner, sizes, cells, stubs, tails, begins = [], [], [], [], [], [], [], []
+            verdicts, keys, inner, sizes, cells, stubs, tails, begins, unclosed = [], [], [], [], [], [], [], [], []
             for text in texts:
-                verdict, own = ending(text)
+                stack, inside = automaton(text.rstrip().rstrip(_INVISIBLE).rstrip())
+                unclosed.append(stack[0] if stack else None)
+                verdict, own = (CUT, []) if inside else ending(text)
                 verdicts.append(verdict)
                 keys.append(own)
                 inner.append([_hash(_plain(m)) for m in _INNER_OMISSION.findall(text)] if "..." in text or "…" in text else [])
@@ -181,9 +221,9 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 sizes.append((len(text), len(raw), xxhash.xxh64_intdigest(raw) - (1 << 63)))
             chars, size, copy = zip(*sizes) if sizes else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(2), pa.array(chars, pa.int32()), pa.array(size, pa.int32()), pa.array(copy, pa.int64()), pa.array(verdicts, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.int64())),
+                [rows.column(0), rows.column(2), pa.array(unclosed, pa.string()), pa.array(chars, pa.int32()), pa.array(size, pa.int32()), pa.array(copy, pa.int64()), pa.array(verdicts, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.int64())),
                  pa.array(cells, pa.list_(pa.string())), pa.array(stubs, pa.string()), pa.array(tails, pa.string()), pa.array(begins, pa.int64())],
-                ["doc", "source", "chars", "bytes", "copy", "verdict", "keys", "inner", "cells", "stub", "tail", "begins"],
+                ["doc", "source", "unclosed", "chars", "bytes", "copy", "verdict", "keys", "inner", "cells", "stub", "tail", "begins"],
             )
 
 
@@ -216,6 +256,28 @@ def _complete(ends: DataFrame, features: DataFrame) -> DataFrame:
     return kept.select(F.col("own").alias("key"))
 
 
+_FINAL = r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$"
+#: A word inside a text, with what shows that a sentence or a line ends behind it.
+_INNER_WORD = r"[\p{L}\p{N}]+(?:[.!?。！？]+(?=\s)|[^\S\n]*\n)?(?=[\s\S])"
+
+
+def _final_words(ends: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key): last words of single lines that may end a headline (see the module's text). The words of all texts are counted,
+    partially before the shuffle."""
+    last = ends.where("single = 1").select(F.regexp_extract("tail", _FINAL, 1).alias("word")).where("word <> ''")
+    last = materialize(last.groupBy("word").agg((F.count("*") - 1).alias("others")).select("word", "others", F.xxhash64("word").alias("key"), F.length("word").alias("size")))
+    tokens = rows.where("text IS NOT NULL").select(F.explode(F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"\d+", "0"), F.lit(_INNER_WORD), 0)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    word = F.regexp_extract("token", r"^[\p{L}\p{N}]+", 0)
+    words = tokens.select(word.alias("word"), "n", F.when(F.length(word) < F.length("token"), F.col("n")).otherwise(0).alias("ended")).groupBy("word").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+    words = materialize(words)
+    longer = _prefixes(words, "word", last).where(F.length("word") > F.col("size")).join(maybe_broadcast(last.select("key")), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("longer"))
+    known = last.join(words, "word", "left").join(longer, "key", "left")
+    known = known.na.fill(0, ["n", "ended", "longer"])
+    stands = F.col("n") + F.col("longer")
+    seldom = (stands >= OFTEN) & (F.col("ended") + F.col("others") < ENDING_SHARE * stands)
+    return known.where(~seldom & ((F.col("n") > 0) | (F.col("longer") == 0))).select("key")
+
+
 def _joined(rows: DataFrame, small: DataFrame, column: str, name: str) -> DataFrame:
     known = maybe_broadcast(materialize(small.select(F.col("key").alias(column)))).withColumn(name, F.lit(True))
     return rows.join(known, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
@@ -228,11 +290,17 @@ def judged(docs: DataFrame, doc_col: str, text_col: str, source_col: str) -> Dat
     they go in, exact copies counting once in the statistics. A null source is a source of its own. Empty tables give
     an empty result. Other columns aren't read.
     """
-    rows = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col), F.lit("\u0000")).alias("source"))
+    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col), F.lit("\u0000")).alias("source"))
     filled = F.col("text").isNotNull() & (F.btrim("text", F.lit(" \t\r\n")) != "")
-    features = materialize(rows.where(filled).mapInArrow(_feature_batches, _FEATURES))
-    names = ("line", "ahead", "lead", "word", "first", "length", "row", "words", "lines")
-    open_ = features.where(F.col("verdict") == OPEN).select("doc", "source", "chars", "bytes", "copy", "tail", F.when(F.col("stub").isNotNull(), F.xxhash64("stub")).alias("behind"), *(F.col("keys")[k].alias(n) for k, n in enumerate(names)))
+    features = materialize(rows.where(filled).mapInArrow(_feature_batches, f"doc {rows.schema['doc'].dataType.simpleString()}, {_FEATURES}"))
+    usual = materialize(features.groupBy("source", "unclosed", "verdict").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy("source"))).where(F.col("all") >= STYLE_TEXTS))
+    loose = usual.where("unclosed IS NOT NULL").groupBy("source", "unclosed").agg(F.sum("n").alias("n"), F.first("all").alias("all")).where(F.col("n") >= STYLE_SHARE * F.col("all"))
+    unended = usual.groupBy("source").agg(F.sum(F.when(F.col("verdict") == OPEN, F.col("n")).otherwise(0)).alias("n"), F.first("all").alias("all")).where(F.col("n") >= UNENDED_SHARE * F.col("all"))
+    features = features.join(maybe_broadcast(loose.select("source", "unclosed", F.lit(True).alias("loose"))), ["source", "unclosed"], "left")
+    features = features.withColumn("verdict", F.when(F.col("unclosed").isNotNull() & F.col("loose").isNull(), CUT).otherwise(F.col("verdict"))).drop("loose", "unclosed")
+    names = ("line", "ahead", "lead", "word", "first", "length", "row", "words", "lines", "single")
+    open_ = features.where(F.col("verdict") == OPEN).select("doc", "source", "chars", "bytes", "copy", "tail", F.when(F.col("stub").isNotNull(), F.xxhash64("stub")).alias("behind"), *(F.get("keys", F.lit(k)).alias(n) for k, n in enumerate(names)))
+    open_ = open_.withColumn("final", F.when(F.col("single") == 1, F.xxhash64(F.regexp_extract("tail", _FINAL, 1))))
 
     short = F.col("words") <= 3
     lines = _complete(open_, features)
@@ -247,19 +315,19 @@ def judged(docs: DataFrame, doc_col: str, text_col: str, source_col: str) -> Dat
     stubs = materialize(features.where((F.col("verdict") == OPEN) & F.col("stub").isNotNull()).select(F.xxhash64("stub").alias("key"), F.length("stub").alias("size")).distinct())
     cells = features.select(F.explode("cells").alias("cell")).distinct()
     begun = _prefixes(cells, "cell", stubs).join(maybe_broadcast(stubs.select("key")), "key", "left_semi").select("key").distinct()
+    headlines = _final_words(open_, rows)
     marked = open_
-    for small, column, name in ((lines, "line", "known_line"), (ahead, "ahead", "signed"), (leads, "lead", "led"), (words, "word", "listed"), (lengths, "length", "named"), (rowed, "row", "tabled"), (begun, "behind", "begun")):
+    for small, column, name in ((headlines, "final", "headline"), (lines, "line", "known_line"), (ahead, "ahead", "signed"), (leads, "lead", "led"), (words, "word", "listed"), (lengths, "length", "named"), (rowed, "row", "tabled"), (begun, "behind", "begun"), (unended.select(F.col("source").alias("key")), "source", "unended")):
         marked = _joined(marked, small, column, name)
     limit = {m: maybe_broadcast(materialize(source_limits(features, m)).withColumnRenamed("limit", f"most_{m}")) for m in ("chars", "bytes")}
     for limits in limit.values():
         marked = marked.join(limits, "source", "left")
     at_limit = F.coalesce(F.col("chars") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.col("bytes") >= F.col("most_bytes") - 3, F.lit(False))
-    headline = (F.col("lines") == 1) & (F.col("chars") <= HEADLINE_CHARS)
-    whole = ~F.col("begun") & (F.col("known_line") | (~at_limit & (headline | (F.col("signed") & short) | (F.col("led") & F.col("listed")) | F.col("named") | F.col("tabled"))))
+    whole = ~F.col("begun") & (F.col("known_line") | (~at_limit & (F.col("headline") | F.col("unended") | (F.col("signed") & short) | (F.col("led") & F.col("listed")) | F.col("named") | F.col("tabled"))))
     open_cut = marked.select("doc", "source", (~whole).alias("cut"))
 
     inner = features.select(F.explode("inner").alias("key"), "copy").distinct().groupBy("key").agg(F.count("*").alias("texts"))
-    trailing = _joined(features.where(F.col("verdict") == OMISSION).select("doc", "source", "chars", "bytes", F.col("keys")[0].alias("phrase")), inner, "phrase", "thought")
+    trailing = _joined(features.where(F.col("verdict") == OMISSION).select("doc", "source", "chars", "bytes", F.get("keys", F.lit(0)).alias("phrase")), inner, "phrase", "thought")
     for limits in limit.values():
         trailing = trailing.join(limits, "source", "left")
     trailing = trailing.withColumn("thought", F.col("thought") & ~at_limit)
