@@ -21,7 +21,10 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals(spark, sf_dir).where("heavy").select("source_field", "key_text")
+    links = skew.heavy_keys(skew.link_entries(table(spark, sf_dir, "hurricane_index")), "key", "entries")
+    lengths = skew.heavy_keys(_lengths(spark, sf_dir), "term", "length")
+    both = [d.select(F.lit(name).alias("source_field"), F.col("key").alias("key_text")) for name, d in (("inlinks", links), ("length", lengths))]
+    return both[0].unionByName(both[1])
 
 
 def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,27 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/lexflume-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def _delete(session: SparkSession, path: str) -> None:
+    try:
+        target = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that `materialize` returned, once nothing reads them any more; others are left alone."""
+    for frame in frames:
+        path = getattr(frame, "_written_at", None)
+        for session, written in _written[:]:
+            if written == path:
+                _written.remove((session, written))
+                _delete(session, written)
 
 
 def discard(spark: SparkSession | None = None) -> None:
@@ -63,12 +83,7 @@ def discard(spark: SparkSession | None = None) -> None:
     for session, path in _written[:]:
         if spark is None or session is spark:
             _written.remove((session, path))
-            try:
-                jvm = session.sparkContext._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-            except Exception:  # the session may be gone already
-                pass
+            _delete(session, path)
 
 
 atexit.register(discard)
