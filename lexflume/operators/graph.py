@@ -1,4 +1,8 @@
-"""Link analysis on edge DataFrames (src, dst): PageRank and HITS by joins, with lineage cut every round."""
+"""Link analysis on edge DataFrames (src, dst): PageRank and HITS by joins, with lineage cut every round.
+
+The edges are shuffled once, into buckets by the node they are joined on; the scores are written in the same buckets each
+round, so a round moves only partial sums. The scores of a finished round are removed once the next ones are written.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexflume.session import materialize
+from lexflume.session import materialize, release
+
+EDGES_PER_BUCKET = 4_000_000
+LEAST_BUCKETS = 8
+
+
+def _buckets(edges: int) -> int:
+    return max(LEAST_BUCKETS, -(-edges // EDGES_PER_BUCKET))
 
 
 def edges_from_lists(rows: DataFrame, node: str, links: str, incoming: bool = False) -> DataFrame:
@@ -43,22 +54,29 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
         return nodes.withColumn("score", F.lit(0.0))
     links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("out"))
-    links = materialize(links.join(out, "src").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    sinks = materialize(nodes.join(out.select(F.col("src").alias("node")), "node", "left_anti"))
-    ranks = materialize(nodes.withColumn("score", F.lit(1.0 / n)))
+    nodes = nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("sink")), "node", "left").withColumn("sink", F.coalesce("sink", F.lit(True)))
+    inside = materialize(links.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(out, "src"))
+    buckets = _buckets(max(n, inside.count()))
+    links = materialize(inside, "src", buckets)
+    release(inside)
+    nodes = materialize(nodes, "node", buckets)
+    ranks = materialize(nodes.withColumn("score", F.lit(1.0 / n)), "node", buckets)
     calm, before = 0, float(n)
     for _ in range(iterations if iterations is not None else most):
-        lost = ranks.join(sinks, "node", "left_semi").agg(F.sum("score")).first()[0] or 0.0
-        given = links.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("given"))
+        lost = ranks.where("sink").agg(F.sum("score")).first()[0] or 0.0
+        given = links.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("given"))
         base = (1 - damping) / n + damping * lost / n
-        ranks = materialize(nodes.join(given, "node", "left").select("node", (base + damping * F.coalesce("given", F.lit(0.0))).alias("score")))
+        new = materialize(nodes.join(given, "node", "left").select("node", "sink", (base + damping * F.coalesce("given", F.lit(0.0))).alias("score")), "node", buckets)
+        release(ranks)
+        ranks = new
         if iterations is None:
             now = perplexity(ranks)
             calm += abs(now - before) < threshold
             before = now
             if calm >= quiet:
                 break
-    return ranks
+    release(links, nodes)
+    return ranks.select("node", "score")
 
 
 def expand_base(edges: DataFrame, root: DataFrame, least: int = 10_000, most_inlinks: int = 200, seed: int = 0, most_rounds: int = 20) -> DataFrame:
@@ -90,31 +108,35 @@ def hits(edges: DataFrame, base: DataFrame, iterations: int | None = None, toler
     """
     nodes = materialize(base.select("node").where("node IS NOT NULL").distinct())
     inside = edges.select("src", "dst").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    links = materialize(inside.groupBy("src", "dst").agg(F.count("*").alias("times")))
-    scores = materialize(nodes.withColumns({"authority": F.lit(1.0), "hub": F.lit(1.0)}))
+    counted = materialize(inside.groupBy("src", "dst").agg(F.count("*").alias("times")))
+    buckets = _buckets(max(nodes.count(), counted.count()))
+    links, back = materialize(counted, "src", buckets), materialize(counted, "dst", buckets)
+    release(counted)
+    scores = materialize(nodes.withColumns({"authority": F.lit(1.0), "hub": F.lit(1.0)}), "node", buckets)
     before = None
     for _ in range(iterations if iterations is not None else most):
         up = links.join(scores.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("hub") * F.col("times")).alias("a"))
-        down = links.join(scores.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("authority") * F.col("times")).alias("h"))
+        down = back.join(scores.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("authority") * F.col("times")).alias("h"))
         filled = lambda c: F.when(F.coalesce(c, F.lit(0.0)) == 0, 1.0).otherwise(F.col(c))
-        raw = materialize(scores.select("node", F.col("authority").alias("old_a"), F.col("hub").alias("old_h")).join(up, "node", "left").join(down, "node", "left").select("node", "old_a", "old_h", filled("a").alias("a"), filled("h").alias("h")))
+        raw = materialize(scores.select("node", F.col("authority").alias("old_a"), F.col("hub").alias("old_h")).join(up, "node", "left").join(down, "node", "left").select("node", "old_a", "old_h", filled("a").alias("a"), filled("h").alias("h")), "node", buckets)
         norm = raw.agg(F.sqrt(F.sum(F.col("a") ** 2)), F.sqrt(F.sum(F.col("h") ** 2))).first()
         if norm[0] is None:
             return scores
-        new = raw.select("node", (F.col("a") / norm[0]).alias("authority"), (F.col("h") / norm[1]).alias("hub"), "old_a", "old_h")
+        release(scores)
+        # divided when they are read, so a round writes one table
+        scores = raw.select("node", (F.col("a") / norm[0]).alias("authority"), (F.col("h") / norm[1]).alias("hub"), "old_a", "old_h")
+        scores._written_at = raw._written_at
         if iterations is None:
             if by_perplexity:
-                now = perplexity(new, "authority"), perplexity(new, "hub")
+                now = perplexity(scores, "authority"), perplexity(scores, "hub")
                 done = before is not None and all(isfinite(x) and abs(x - y) < 1 for x, y in zip(now, before))
                 before = now
             else:
-                done = (new.agg(F.max(F.greatest(F.abs(F.col("authority") - F.col("old_a")), F.abs(F.col("hub") - F.col("old_h"))))).first()[0] or 0.0) <= tolerance
-        else:
-            done = False
-        scores = new.select("node", "authority", "hub")
-        if iterations is None and done:
-            break
-    return scores
+                done = (scores.agg(F.max(F.greatest(F.abs(F.col("authority") - F.col("old_a")), F.abs(F.col("hub") - F.col("old_h"))))).first()[0] or 0.0) <= tolerance
+            if done:
+                break
+    release(links, back)
+    return scores.select("node", "authority", "hub")
 
 
 def top_scores(scores: DataFrame, column: str, k: int = 500, edges: DataFrame | None = None) -> DataFrame:

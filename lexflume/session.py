@@ -46,13 +46,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None, buckets: int = 0) -> DataFrame:
     """Cut the lineage: write `df` once as Parquet into the shared folder and read it back.
 
-    The files survive lost executors and are removed when the process ends (or by `discard`).
+    The files survive lost executors and are removed when the process ends (or by `discard` or `release`). With `by` the
+    rows are laid out in so many buckets of that column: joins on it and groupings by it then move none of them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexflume-{uuid.uuid4().hex}"
+    name = f"lexflume_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    if by and buckets:
+        df.repartition(buckets, by).write.format("parquet").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+        _written.append((spark, path))
+        back = spark.table(name)
+        back._written_at = path
+        return back
     df.write.parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
@@ -62,6 +70,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def _delete(session: SparkSession, path: str) -> None:
     try:
+        session.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1]}")
         target = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session may be gone already
