@@ -76,7 +76,43 @@ def test_anchor_code_covers_and_meets():
         for bit in range(7):
             b = a ^ (1 << bit)
             assert int(near[a][0]) in near[b] and int(near[b][0]) in near[a]
-    assert near_dup.recall_bound(0.7) > 0.99
+
+
+def test_recall_is_what_the_module_promises():
+    assert near_dup.recall(0.5) > 0.99
+    assert near_dup.recall(0.55, 0.5) > 0.99
+    assert near_dup.recall(0.8) > 0.99
+
+
+def test_recall_on_made_pairs_near_the_threshold(spark):
+    """Two hundred pairs of similarities between 0.50 and 0.55, each of its own words."""
+    rng = random.Random(2)
+    rows = []
+    while len(rows) < 400:
+        own = [f"x{len(rows)}y{k}" for k in range(90)]
+        other = list(own)
+        for at in rng.sample(range(90), rng.randint(8, 14)):
+            other[at] = f"z{len(rows)}y{at}"
+        sets = [{tuple(w[k : k + 3]) for k in range(88)} for w in (own, other)]
+        if 0.5 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) <= 0.55:
+            rows += [(f"d{len(rows):03}", " ".join(own)), (f"d{len(rows) + 1:03}", " ".join(other))]
+    links, _ = near_dup.near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 0.5)
+    assert links.count() >= 0.98 * 200
+
+
+def test_hot_anchors_in_blocks_give_the_same(spark, pages, monkeypatch):
+    docs = spark.createDataFrame(pages, "page_id long, content string")
+    one = {tuple(r)[:2] for r in near_dup.near_duplicates(docs, "page_id", "content", 3, 0.5)[0].collect()}
+    monkeypatch.setattr(near_dup, "SPLIT", 1)
+    assert {tuple(r)[:2] for r in near_dup.near_duplicates(docs, "page_id", "content", 3, 0.5)[0].collect()} == one
+
+
+def test_classes_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two three four five six seven" if i % 3 else f"one two three four five six {i}") for i in range(60)], "id long, text string")
+    wanted = {tuple(r) for r in near_dup.near_duplicates(docs, "id", "text")[1].collect()}
+    monkeypatch.setattr(near_dup, "maybe_broadcast", lambda df: df)
+    assert {tuple(r) for r in near_dup.near_duplicates(docs, "id", "text")[1].collect()} == wanted and len(wanted) == 60
+
 
 
 def _naive_leaks(docs, items, least):
