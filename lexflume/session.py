@@ -102,3 +102,22 @@ def maybe_broadcast(df: DataFrame, limit: int = 500_000) -> DataFrame:
     """Hint a broadcast if the (materialized) frame of a few narrow columns has at most `limit` rows, else leave a shuffle join."""
     few = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if few else df
+
+
+HEAVY_PARTS = 10_000
+
+
+def join_by_weight(rows: DataFrame, stats: DataFrame, key: str, weight: str) -> DataFrame:
+    """`rows` joined with `stats` (materialized, one row a key; `weight` says how many of the rows have the key).
+
+    All of `stats` is sent to the tasks if it is small. Else only the keys with more than one part in HEAVY_PARTS of the
+    weight are, which are fewer than HEAVY_PARTS whatever the input, and the rest meet their rows in a shuffle by key,
+    where no key is heavy.
+    """
+    small = maybe_broadcast(stats)
+    if small is not stats:
+        return rows.join(small, key)
+    total = stats.agg(F.sum(weight)).first()[0] or 0
+    heavy = stats.where(F.col(weight) > total / HEAVY_PARTS)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(stats.where(F.col(weight) <= total / HEAVY_PARTS), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
