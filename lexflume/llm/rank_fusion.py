@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexflume.session import materialize
+from lexflume.session import materialize, release
 
 DAMPING = 0.5
 TOLERANCE = 1e-10
 MOST_STEPS = 200
+RELATIVE_DIGITS = 9
 WHOLE = 400_000
 
 
@@ -45,7 +46,8 @@ def fused_input(runs: list[DataFrame], group_col: str, item_col: str, score_col:
 
 
 def stationary(scores: np.ndarray, starts: np.ndarray, damping: float = DAMPING, tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS) -> np.ndarray:
-    """Stationary shares of the items of several groups at once. scores: items x runs; starts: first item of each group, and the end."""
+    """Stationary shares of the items of several groups at once. scores: items x runs; starts: first item of each group, and the end.
+    Each step shrinks what is off by the damping at least; a walk not settled after `most_steps` is an error."""
     n, runs = scores.shape
     sizes = np.diff(starts)
     group = np.repeat(np.arange(len(sizes)), sizes)
@@ -72,8 +74,8 @@ def stationary(scores: np.ndarray, starts: np.ndarray, damping: float = DAMPING,
         change = np.abs(new - share).max() if n else 0.0
         share = new
         if change < tolerance:
-            break
-    return share
+            return share
+    raise RuntimeError(f"the walk has not settled in {most_steps} steps")
 
 
 def _walk_batches(runs: int, top: int | None, damping: float):
@@ -88,8 +90,8 @@ def _walk_batches(runs: int, top: int | None, damping: float):
             share = stationary(scores, starts, damping)
             group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             names = np.array(items.to_pylist(), object)
-            # equal shares may differ in the last bits, so ties are decided on rounded values
-            order = np.lexsort((names.astype(str), -np.round(share, 12), group))
+            # equal shares may differ in the last bits, so ties are decided on rounded values, relative to the group's mean share
+            order = np.lexsort((names.astype(str), -np.round(share * np.diff(starts)[group], RELATIVE_DIGITS), group))
             rank = np.arange(len(order)) - starts[group[order]] + 1
             if top:
                 order, rank = order[rank <= top], rank[rank <= top]
@@ -100,7 +102,7 @@ def _walk_batches(runs: int, top: int | None, damping: float):
 
 
 def _hot_walk(items: DataFrame, runs: int, damping: float, tolerance: float, most_steps: int) -> DataFrame:
-    """(grp, item, share) of groups too large for a task: the same walk in relational steps."""
+    """(grp, item, share, by) of groups too large for a task: the same walk in relational steps. `by` is the share for ordering."""
     spark = items.sparkSession
     key = ["grp", "run", "chunk"]
     long = items.select("grp", "item", F.posexplode(F.array(*(f"s{k}" for k in range(runs)))).alias("run", "score"))
@@ -116,15 +118,17 @@ def _hot_walk(items: DataFrame, runs: int, damping: float, tolerance: float, mos
     upto = W.partitionBy(*key).orderBy("score").rangeBetween(W.unboundedPreceding, 0)
     later = W.partitionBy("grp", "run").orderBy("chunk").rowsBetween(1, W.unboundedFollowing)
     for _ in range(most_steps):
-        sent = long.join(state, ["grp", "item"]).withColumn("sent", F.col("share") / F.col("reached"))
+        sent = long.join(state.select("grp", "item", "count", "share"), ["grp", "item"]).withColumn("sent", F.col("share") / F.col("reached"))
         below = sent.groupBy(*key).agg(F.sum("sent").alias("own")).withColumn("below", F.coalesce(F.sum("own").over(later), F.lit(0.0))).drop("own")
         got = sent.withColumn("got", F.sum("sent").over(upto)).join(below, key).groupBy("grp", "item").agg(F.sum(F.col("got") + F.col("below")).alias("got"), F.first("share").alias("old"), F.first("count").alias("count"))
         new = materialize(got.select("grp", "item", "count", "old", ((1 - damping) / F.col("count") + damping / runs * F.col("got")).alias("share")))
         change = new.agg(F.max(F.abs(F.col("share") - F.col("old")))).first()[0] or 0.0
-        state = new.drop("old")
+        release(state)
+        state = new
         if change < tolerance:
-            break
-    return state.select("grp", "item", "share")
+            release(long)
+            return state.select("grp", "item", "share", F.round(F.col("share") * F.col("count"), RELATIVE_DIGITS).alias("by"))
+    raise RuntimeError(f"the walk has not settled in {most_steps} steps")
 
 
 def fuse_rankings(
@@ -135,7 +139,7 @@ def fuse_rankings(
 
     Only items with a score in every run compete, and only groups with at least `least_items` of them come out. Null
     and NaN scores are none; null groups or items are ignored; an item repeated in a run counts once with its highest
-    score. Equal shares (to 12 digits) are ordered by item. Empty runs give an empty result. Other columns aren't read.
+    score. Equal shares (to 9 digits of the group's mean share) are ordered by item. Empty runs give an empty result. Other columns aren't read.
     `top` keeps the first so many of each group.
     """
     items = materialize(fused_input(runs, group_col, item_col, score_col))
@@ -153,11 +157,11 @@ def fuse_rankings(
         if top is None:
             from lexflume.llm.top_items import global_ranks
 
-            ranked_hot = global_ranks(shares.withColumn("by", F.round("share", 12)), "grp", "item", "by").select("grp", "item", "share", "rank")
+            ranked_hot = global_ranks(shares, "grp", "item", "by").select("grp", "item", "share", "rank")
         else:
             from lexflume.llm.top_items import top_per_group
 
-            best = top_per_group(shares.withColumn("by", F.round("share", 12)), "grp", "item", "by", top, keep=["share"])
+            best = top_per_group(shares, "grp", "item", "by", top, keep=["share"])
             ranked_hot = best.select("grp", "item", "share", "rank")
         ranked = ranked.unionByName(ranked_hot)
     return ranked

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexflume.session import join_by_weight, materialize
+
 
 def counting_rows(vectors: DataFrame, doc_col: str = "doc_id", term_col: str = "term", freq_col: str = "term_freq") -> DataFrame:
     """(doc, term, tf): each record's terms once.
@@ -39,13 +41,15 @@ def term_divergence(vectors: DataFrame, mu: float = 100.0, least_docs: int = 2,
     Terms in fewer than `least_docs` records don't come out, but count in record and collection lengths. Record and
     collection statistics are counted from the rows (see `counting_rows`). Empty input gives an empty result.
     """
-    rows = counting_rows(vectors, **columns)
-    size = rows.agg(F.sum("tf")).scalar()
-    terms = rows.groupBy("term").agg(F.sum("tf").alias("ttf"), F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
-    lengths = rows.groupBy("doc").agg(F.sum("tf").alias("length"))
+    # written once: read for the statistics of terms and of records and for the scores
+    rows = materialize(counting_rows(vectors, **columns))
+    terms = materialize(rows.groupBy("term").agg(F.sum("tf").alias("ttf"), F.count("*").alias("docs")))
+    lengths = materialize(rows.groupBy("doc").agg(F.sum("tf").alias("length"), F.count("*").alias("terms")))
+    size = lengths.agg(F.sum("length")).scalar()
     background = F.col("ttf") / F.col("size")
     own = (F.col("tf") + mu * background) / (F.col("length") + mu)
-    return rows.join(terms, "term").join(lengths, "doc").withColumn("size", size).select("doc", "term", "tf", "docs", (own * F.log2(own / background)).alias("divergence"))
+    scored = join_by_weight(join_by_weight(rows, terms, "term", "docs").where(F.col("docs") >= least_docs), lengths, "doc", "terms")
+    return scored.withColumn("size", size).select("doc", "term", "tf", "docs", (own * F.log2(own / background)).alias("divergence"))
 
 
 def leading_terms(vectors: DataFrame, top: int = 1, **options) -> DataFrame:

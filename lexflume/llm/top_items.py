@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexflume.operators.numbering import numbered
+from lexflume.session import materialize, maybe_broadcast
+
 HEAVY = 100_000
 RANGES = 256
 SALTS = 16
@@ -41,29 +44,28 @@ def top_per_group(df: DataFrame, group_col: str, item_col: str, score_col: str,
     highest score; groups with fewer items give all. Empty input gives an empty result. `keep` names further columns
     to carry along (from the row with the highest score); others aren't read, so names can't clash.
     """
-    rows = best_scores(df, group_col, item_col, score_col, keep)
-    counts = rows.groupBy("grp").agg(F.count("*").alias("members"))
-    hot = counts.where(F.col("members") > heavy).select("grp")
+    rows = materialize(best_scores(df, group_col, item_col, score_col, keep))
+    hot = materialize(rows.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") > heavy).select("grp"))
     order = [F.desc("score"), F.asc("item")]
-    light = rows.join(hot, "grp", "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where(F.col("rank") <= n)
+    ordinary = lambda part: part.withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where(F.col("rank") <= n)
+    kept = {f"kept_{c}": c for c in keep or []}
+    if not hot.take(1):
+        return ordinary(rows).withColumnsRenamed(kept)
+    # more than `heavy` of the rows each, so there are fewer of them than rows / heavy
+    hot = maybe_broadcast(hot)
+    light = ordinary(rows.join(hot, "grp", "left_anti"))
     parted = _ranges(rows.join(hot, "grp", "left_semi"))
     above = W.partitionBy("grp").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     needed = parted.groupBy("grp", "part").count().withColumn("above", F.coalesce(F.sum("count").over(above), F.lit(0))).where(F.col("above") < n).select("grp", "part")
     salted = parted.join(needed, ["grp", "part"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
     first = salted.withColumn("rank", F.row_number().over(W.partitionBy("grp", "part", "salt").orderBy(*order))).where(F.col("rank") <= n).drop("part", "salt", "rank")
-    merged = first.withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where(F.col("rank") <= n)
-    return light.unionByName(merged).withColumnsRenamed({f"kept_{c}": c for c in keep or []})
+    return light.unionByName(ordinary(first)).withColumnsRenamed(kept)
 
 
 def global_ranks(df: DataFrame, group_col: str, item_col: str, score_col: str) -> DataFrame:
     """All rows with `rank` in their group (score descending, item ascending), for groups of any size: range-sorted
     partitions are numbered on their own and shifted by the counts of those before."""
-    parts = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.desc(score_col), F.asc(item_col)]
-    from lexflume.session import materialize
-
-    laid = materialize(df.repartitionByRange(parts, F.col(group_col), *order).withColumn("_chunk", F.spark_partition_id()))
-    before = W.partitionBy(group_col).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    shift = laid.groupBy(group_col, "_chunk").count().withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = F.row_number().over(W.partitionBy(group_col, "_chunk").orderBy(*order))
-    return laid.withColumn("_own", own).join(shift, [group_col, "_chunk"]).withColumn("rank", (F.col("_own") + F.col("_shift")).cast("int")).drop("_own", "_shift", "_chunk")
+    laid = materialize(numbered(df, "_n", group_col, *order))
+    starts = maybe_broadcast(materialize(laid.groupBy(group_col).agg(F.min("_n").alias("_start"))))
+    return laid.join(starts, group_col).withColumn("rank", (F.col("_n") - F.col("_start") + 1).cast("int")).drop("_n", "_start")

@@ -14,8 +14,9 @@ sets terminators, the lack of one says nothing; elsewhere the collection decides
 * an omission mark is a trailing-off thought if the same words stand before one in the middle of other texts;
 * a source whose longest length, in characters or bytes, is hit again and again has a limit there: an open end at the
   limit is a cut whatever else it looks like, except a recurring ending;
-* a text of one line with no sentence end in it is a headline unless its last word hardly ever ends a sentence, a line or
-  another text for the many times it stands, or longer words begin with it, in texts, or is only known as such a beginning.
+* a text of one line with no sentence end in it is a headline if its last word also ends sentences, lines or other texts,
+  and not if it hardly ever does for the many times it stands, or longer words begin with it, in texts, or is only known as
+  such a beginning; where the collection says neither, it is one if it has no more words than the mean sentence.
 """
 
 from __future__ import annotations
@@ -137,11 +138,21 @@ def _is_picture(c: str) -> bool:
     return unicodedata.category(c) in ("So", "Sk", "Mn", "Me") or c in "‍️"
 
 
+def _body(text: str) -> str:
+    return text.rstrip().rstrip(_INVISIBLE).rstrip()
+
+
 def ending(text: str) -> tuple[int, list[int]]:
+    """(verdict, keys) of a text on its own: what the automaton finds unclosed or unfinished is CUT, else its end decides (`by_end`)."""
+    stack, inside = automaton(_body(text))
+    return (CUT, []) if stack or inside else by_end(text)
+
+
+def by_end(text: str) -> tuple[int, list[int]]:
     """(verdict, keys) by the end alone: WHOLE, CUT, OMISSION with [key of the words before the mark], or OPEN with the keys of the ending:
     [line, line before, lead, last word, first word, first word and length, shape of a table row, words of the line, lines of the text,
     whether it is one line without a sentence end]."""
-    body = text.rstrip().rstrip(_INVISIBLE).rstrip()
+    body = _body(text)
     if not body:
         return WHOLE, []
     mark = _OMISSION.search(body[-12:])
@@ -205,9 +216,9 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for rows, texts in text_slices(batch, 1):
             verdicts, keys, inner, sizes, cells, stubs, tails, begins, unclosed = [], [], [], [], [], [], [], [], []
             for text in texts:
-                stack, inside = automaton(text.rstrip().rstrip(_INVISIBLE).rstrip())
+                stack, inside = automaton(_body(text))
                 unclosed.append(stack[0] if stack else None)
-                verdict, own = (CUT, []) if inside else ending(text)
+                verdict, own = (CUT, []) if inside else by_end(text)
                 verdicts.append(verdict)
                 keys.append(own)
                 inner.append([_hash(_plain(m)) for m in _INNER_OMISSION.findall(text)] if "..." in text or "…" in text else [])
@@ -261,10 +272,11 @@ _FINAL = r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$"
 _INNER_WORD = r"[\p{L}\p{N}]+(?:[.!?。！？]+(?=\s)|[^\S\n]*\n)?(?=[\s\S])"
 
 
-def _final_words(ends: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key): last words of single lines that may end a headline (see the module's text). The words of all texts are counted,
-    partially before the shuffle."""
-    last = ends.where("single = 1").select(F.regexp_extract("tail", _FINAL, 1).alias("word")).where("word <> ''")
+def _final_words(ends: DataFrame, rows: DataFrame, texts: int) -> tuple[DataFrame, DataFrame, float]:
+    """(key) of the last words of single lines that end headlines of any length, (key) of those of which nothing is known, and
+    the mean number of words to a sentence (see the module's text). The words of all texts are counted, partially before
+    the shuffle."""
+    last = ends.where("single = 1").select(F.regexp_extract("tail", _FINAL, 1).alias("word"), "copy").where("word <> ''").distinct()
     last = materialize(last.groupBy("word").agg((F.count("*") - 1).alias("others")).select("word", "others", F.xxhash64("word").alias("key"), F.length("word").alias("size")))
     tokens = rows.where("text IS NOT NULL").select(F.explode(F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"\d+", "0"), F.lit(_INNER_WORD), 0)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     word = F.regexp_extract("token", r"^[\p{L}\p{N}]+", 0)
@@ -275,7 +287,10 @@ def _final_words(ends: DataFrame, rows: DataFrame) -> DataFrame:
     known = known.na.fill(0, ["n", "ended", "longer"])
     stands = F.col("n") + F.col("longer")
     seldom = (stands >= OFTEN) & (F.col("ended") + F.col("others") < ENDING_SHARE * stands)
-    return known.where(~seldom & ((F.col("n") > 0) | (F.col("longer") == 0))).select("key")
+    known = materialize(known.where(~seldom & ((F.col("n") > 0) | (F.col("longer") == 0))).select("key", (F.col("ended") + F.col("others") > 0).alias("sure")))
+    # every text ends one sentence more, with a word that isn't counted above
+    n, ended = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ended"), F.lit(0))).first()
+    return known.where("sure").select("key"), known.where("NOT sure").select("key"), (n + texts) / max(1, ended + texts)
 
 
 def _joined(rows: DataFrame, small: DataFrame, column: str, name: str) -> DataFrame:
@@ -315,15 +330,15 @@ def judged(docs: DataFrame, doc_col: str, text_col: str, source_col: str) -> Dat
     stubs = materialize(features.where((F.col("verdict") == OPEN) & F.col("stub").isNotNull()).select(F.xxhash64("stub").alias("key"), F.length("stub").alias("size")).distinct())
     cells = features.select(F.explode("cells").alias("cell")).distinct()
     begun = _prefixes(cells, "cell", stubs).join(maybe_broadcast(stubs.select("key")), "key", "left_semi").select("key").distinct()
-    headlines = _final_words(open_, rows)
+    headlines, unsure, mean = _final_words(open_, rows, features.count())
     marked = open_
-    for small, column, name in ((headlines, "final", "headline"), (lines, "line", "known_line"), (ahead, "ahead", "signed"), (leads, "lead", "led"), (words, "word", "listed"), (lengths, "length", "named"), (rowed, "row", "tabled"), (begun, "behind", "begun"), (unended.select(F.col("source").alias("key")), "source", "unended")):
+    for small, column, name in ((headlines, "final", "headline"), (unsure, "final", "unsure"), (lines, "line", "known_line"), (ahead, "ahead", "signed"), (leads, "lead", "led"), (words, "word", "listed"), (lengths, "length", "named"), (rowed, "row", "tabled"), (begun, "behind", "begun"), (unended.select(F.col("source").alias("key")), "source", "unended")):
         marked = _joined(marked, small, column, name)
     limit = {m: maybe_broadcast(materialize(source_limits(features, m)).withColumnRenamed("limit", f"most_{m}")) for m in ("chars", "bytes")}
     for limits in limit.values():
         marked = marked.join(limits, "source", "left")
     at_limit = F.coalesce(F.col("chars") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.col("bytes") >= F.col("most_bytes") - 3, F.lit(False))
-    whole = ~F.col("begun") & (F.col("known_line") | (~at_limit & (F.col("headline") | F.col("unended") | (F.col("signed") & short) | (F.col("led") & F.col("listed")) | F.col("named") | F.col("tabled"))))
+    whole = ~F.col("begun") & (F.col("known_line") | (~at_limit & (F.col("headline") | (F.col("unsure") & (F.col("words") <= mean)) | F.col("unended") | (F.col("signed") & short) | (F.col("led") & F.col("listed")) | F.col("named") | F.col("tabled"))))
     open_cut = marked.select("doc", "source", (~whole).alias("cut"))
 
     inner = features.select(F.explode("inner").alias("key"), "copy").distinct().groupBy("key").agg(F.count("*").alias("texts"))

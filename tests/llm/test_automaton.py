@@ -41,7 +41,7 @@ def _cut(spark, rows):
 
 def test_the_automaton_decides_where_the_end_looks_whole(spark):
     """Each of these ends with a terminator: only the automaton sees the cut. Ids are texts."""
-    assert all(truncation.ending(t)[0] == truncation.WHOLE for t in OPEN)
+    assert all(truncation.by_end(t)[0] == truncation.WHOLE for t in OPEN)
     assert _cut(spark, [(f"d{k}", t, "s") for k, t in enumerate([*OPEN, *CLOSED[:5]])]) == {f"d{k}" for k in range(len(OPEN))}
 
 

@@ -150,3 +150,8 @@ def test_judged(spark):
     rates = {r.source: (r.records, r.cut) for r in truncation.truncation_rates(got).collect()}
     assert rates["b"] == (6, 5) and rates[None] == (1, 1)
     assert truncation.judged(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_a_walk_that_does_not_settle_is_an_error():
+    with pytest.raises(RuntimeError):
+        rank_fusion.stationary(np.array([[1.0], [2.0], [3.0]]), np.array([0, 3]), most_steps=2)
