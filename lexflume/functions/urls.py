@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -70,15 +71,29 @@ def canonicalize(base: Column, link: Column, resolve_relative: bool = False, exa
         plain = F.when(F.instr(plain, "//") > 0, plain).otherwise(_join(base, plain))
     else:
         plain = F.when(plain.rlike(r"^(?:\.\./)+[^/]"), _climb(base, plain)).otherwise(plain)
-    bad = ~plain.rlike(r"[\p{L}\p{N}_]") | plain.rlike("(?i)" + "|".join(map(re.escape, unwanted)))
-    cut = {p: (rf"^([^/]*//[^/]*):{p}(?![0-9])", "$1") if exact_ports else (f":{p}", "") for p in (443, 80)}
-    lower = F.lower(plain)
-    port = F.when(lower.startswith("https"), F.regexp_replace(plain, *cut[443])).when(lower.startswith("http"), F.regexp_replace(plain, *cut[80])).otherwise(plain)
-    http = F.regexp_replace(port, r"(?i)https", "http")
-    slashes = F.regexp_replace(http, r"([\p{L}\p{N}_])//+", "$1/")
-    lead = F.regexp_extract(slashes, r"^([^/]*//[^/]*)", 1)
-    whole = F.concat(F.lower(lead), F.substring(slashes, F.length(lead) + 1, F.length(slashes)))
-    return F.when(link.isNull(), None).when(bad | (lead == ""), "").otherwise(whole)
+    found = _let(plain, lambda p: F.when(_unwanted(p, unwanted), "").otherwise(_let(_without_port(p, exact_ports), _lowered)))
+    return F.when(link.isNull(), None).otherwise(found)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: expressions that are copied into every place of their use outgrow a method."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _unwanted(link: Column, unwanted: tuple[str, ...]) -> Column:
+    return ~link.rlike(r"[\p{L}\p{N}_]") | link.rlike("(?i)" + "|".join(map(re.escape, unwanted)))
+
+
+def _without_port(link: Column, exact: bool) -> Column:
+    cut = {p: (rf"^([^/]*//[^/]*):{p}(?![0-9])", "$1") if exact else (f":{p}", "") for p in (443, 80)}
+    port = F.when(link.rlike("(?i)^https"), F.regexp_replace(link, *cut[443])).when(link.rlike("(?i)^http"), F.regexp_replace(link, *cut[80])).otherwise(link)
+    return F.regexp_replace(F.regexp_replace(port, r"(?i)https", "http"), r"([\p{L}\p{N}_])//+", "$1/")
+
+
+def _lowered(link: Column) -> Column:
+    """The link with its scheme and host in lower case; '' without a host."""
+    lead = F.regexp_extract(link, r"^([^/]*//[^/]*)", 1)
+    return F.when(~link.rlike("^[^/]*//"), "").otherwise(F.concat(F.lower(lead), F.regexp_replace(link, r"^[^/]*//[^/]*", "")))
 
 
 def _walked(url: str) -> str:

@@ -69,40 +69,54 @@ def sparse_scores(index: SearchIndex, queries: DataFrame, weight: Column) -> Dat
     return matched(index, queries).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
-def _dense(index: SearchIndex, queries: DataFrame, part: Column, constants: DataFrame, constant: Column) -> DataFrame:
-    """Scores of every document with terms for every query (the query set against all rows): a constant part for all plus the matched part."""
+def _dense(index: SearchIndex, queries: DataFrame, part: Column, constants: DataFrame, constant: Column, first: DataFrame) -> DataFrame:
+    """Scores of a model that gives every document with terms a score: a constant by query and length, plus the matched part (at
+    least 0). Of the documents that don't match only `first` (doc_id, dl) can rank, so documents never multiply with queries:
+    a document outside of them stands behind k documents of `first` whether these match or not."""
     got = matched_with(index, queries, constants).groupBy("query_id", "doc_id").agg(F.sum(part).alias("part"))
     ids = constants.groupBy("query_id").agg(F.sum("qtf").alias("qlen"), F.sum("base").alias("base"))
-    every = index.with_stats(index.doc_stats.where("dl > 0")).crossJoin(F.broadcast(ids) if _few(ids) else ids)
-    return every.join(got, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (constant + F.coalesce("part", F.lit(0.0))).alias("score"))
+    hits = got.join(ids, "query_id").join(index.doc_stats, "doc_id").select("query_id", "doc_id", "qlen", "base", "dl", "part")
+    rest = ids.crossJoin(F.broadcast(first)).join(got.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "qlen", "base", "dl", F.lit(0.0).alias("part"))
+    return index.with_stats(hits.unionByName(rest)).select("query_id", "doc_id", (constant + F.col("part")).alias("score"))
 
 
-def _few(ids: DataFrame, limit: int = 100_000) -> bool:
-    return ids.limit(limit + 1).count() <= limit
+def _shortest(index: SearchIndex, k: int, digits: int | None) -> DataFrame:
+    """(doc_id, dl): the documents that can be among the first `k` of a query by length, the shorter the better, ties by
+    doc_id. Rounded scores of neighbouring lengths may be equal, so longer documents within the rounding come along, the first
+    `k` of each length. There are at most k of these for each length in question."""
+    docs = index.doc_stats.where("dl > 0")
+    last = docs.orderBy("dl", "doc_id").limit(k).agg(F.max("dl")).first()[0] or 0
+    v = index.stats.first()["v"] or 0
+    within = last if digits is None else last + (last + v) * 2 * 10.0**-digits + 1
+    place = F.row_number().over(W.partitionBy("dl").orderBy("doc_id"))
+    return docs.where(F.col("dl") <= within).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
 def matched_with(index: SearchIndex, queries: DataFrame, constants: DataFrame) -> DataFrame:
     return index.postings.select("term", "doc_id", "tf").join(constants.select("query_id", "term", "qtf", "c"), "term").join(index.doc_stats, "doc_id")
 
 
-def laplace_scores(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """Laplace-smoothed unigram model: sum over words of ln((tf + 1) / (dl + v)), all documents.
+def laplace_scores(index: SearchIndex, queries: DataFrame, k: int = 1000, digits: int | None = DIGITS) -> DataFrame:
+    """Laplace-smoothed unigram model: sum over words of ln((tf + 1) / (dl + v)), of all documents that match and of those
+    others that can be among the first `k`.
 
-    Factorised: sum over matches of qtf ln(tf + 1), minus |q| ln(dl + v); the terms never multiply documents and queries.
+    Factorised: sum over matches of qtf ln(tf + 1), minus |q| ln(dl + v).
     """
     constants = query_terms(queries).withColumns({"c": F.lit(0.0), "base": F.lit(0.0)})
-    return _dense(index, queries, F.col("qtf") * F.ln(F.col("tf") + 1), constants, -F.col("qlen") * F.ln(F.col("dl") + F.col("v")))
+    return _dense(index, queries, F.col("qtf") * F.ln(F.col("tf") + 1), constants, -F.col("qlen") * F.ln(F.col("dl") + F.col("v")), _shortest(index, k, digits))
 
 
-def jelinek_mercer_scores(index: SearchIndex, queries: DataFrame, lam: float = 1.1, unseen_ttf: int = 100) -> DataFrame:
-    """Jelinek-Mercer model: sum over words of ln(lam tf / dl + (lam - 1) ttf / v), all documents.
+def jelinek_mercer_scores(index: SearchIndex, queries: DataFrame, k: int = 1000, lam: float = 1.1, unseen_ttf: int = 100) -> DataFrame:
+    """Jelinek-Mercer model (lam above 1): sum over words of ln(lam tf / dl + (lam - 1) ttf / v), of all documents that match
+    and of those others that can be among the first `k`: they all have the same score, so the first by doc_id.
 
     Factorised with c = (lam - 1) ttf / v: sum of qtf ln c for the query, plus qtf ln(1 + lam tf / (dl c)) for each match.
     """
     terms = index.with_stats(query_terms(queries).join(index.term_stats, "term", "left"))
     c = (lam - 1) * F.coalesce("ttf", F.lit(unseen_ttf)) / F.col("v")
     constants = terms.select("query_id", "term", "qtf", c.alias("c")).withColumn("base", F.col("qtf") * F.ln("c"))
-    return _dense(index, queries, F.col("qtf") * F.ln(1 + lam * F.col("tf") / (F.col("dl") * F.col("c"))), constants, F.col("base"))
+    first = index.doc_stats.where("dl > 0").orderBy("doc_id").limit(k)
+    return _dense(index, queries, F.col("qtf") * F.ln(1 + lam * F.col("tf") / (F.col("dl") * F.col("c"))), constants, F.col("base"), first)
 
 
 def zero_filled(scores: DataFrame, index: SearchIndex, queries: DataFrame, k: int) -> DataFrame:
@@ -127,9 +141,9 @@ def ranked(scores: DataFrame, k: int = 1000, digits: int | None = DIGITS) -> Dat
 def search(index: SearchIndex, queries: DataFrame, model: str = "bm25_vectors", k: int = 1000, zero_fill: bool = False, digits: int | None = DIGITS, **parameters) -> DataFrame:
     """A run of the named model: okapi_tf, tfidf, bm25_index, bm25_vectors, match, laplace, jm or proximity."""
     if model == "laplace":
-        scores = laplace_scores(index, queries)
+        scores = laplace_scores(index, queries, k, digits)
     elif model == "jm":
-        scores = jelinek_mercer_scores(index, queries, **parameters)
+        scores = jelinek_mercer_scores(index, queries, k, **parameters)
     elif model == "proximity":
         from lexflume.operators.proximity import proximity_scores
 
