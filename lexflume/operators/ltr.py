@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import pi, sqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexflume.operators.numbering import numbered
+from lexflume.operators.skew import key_quantiles
 from lexflume.session import materialize
 
 #: What a pair gets where a model hasn't ranked it (fixed values).
@@ -46,13 +48,40 @@ def feature_frame(pairs: DataFrame, runs: dict[str, DataFrame], missing: dict[st
     return pairs.join(wide, ["query_id", "doc_id"], "left").na.fill({name: missing.get(name, 0.0) for name in runs})
 
 
+def percentiles(rows: DataFrame, columns: list[str], shares: tuple[float, ...]) -> dict[str, list[float | None]]:
+    """The exact percentiles of each column, interpolated between ranks; None without values. Ranks are resolved by
+    histograms of mergeable counts (`key_quantiles`), so no column's values are gathered."""
+    counts = rows.agg(*(F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).alias(c) for c in columns)).first()
+    ranks = {c: sorted({r for p in shares for r in (int(p * (counts[c] - 1)), min(counts[c] - 1, int(p * (counts[c] - 1)) + 1))}) for c in columns if counts[c]}
+    wanted = sorted({(r + 0.5) / counts[c] for c, own in ranks.items() for r in own})
+    if not wanted:
+        return {c: [None] * len(shares) for c in columns}
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
+    found = {(r.key, r.p): r.value for r in key_quantiles(long, "column", "value", tuple(wanted)).collect()}
+
+    def at(c: str, share: float) -> float | None:
+        n = counts[c]
+        if not n:
+            return None
+        low = int(share * (n - 1))
+        a, b = (found[c, (r + 0.5) / n] for r in (low, min(n - 1, low + 1)))
+        return a + (b - a) * (share * (n - 1) - low)
+
+    return {c: [at(c, share) for share in shares] for c in columns}
+
+
 def robust_scaled(rows: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Columns centred on the median and divided by the interquartile range (1 if that is 0)."""
-    quartiles = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
-    stats = rows.agg(*(quartiles(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns)).select(F.struct(*columns)).scalar()
-    rows = rows.withColumn("_q", stats)
-    width = lambda c: F.col(f"_q.{c}")[2] - F.col(f"_q.{c}")[0]
-    return rows.withColumns({c: (F.col(c) - F.col(f"_q.{c}")[1]) / F.when(width(c) == 0, 1.0).otherwise(width(c)) for c in columns}).drop("_q")
+    """Columns centred on the median and divided by the interquartile range (1 if that is 0); a column without values stays null."""
+    shares = (0.25, 0.5, 0.75)
+    if exact:
+        found = percentiles(rows, columns, shares)
+    else:
+        found = rows.agg(*(F.percentile_approx(c, F.array(*map(F.lit, shares)), 10_000).alias(c) for c in columns)).first().asDict()
+    scaled = {}
+    for c in columns:
+        low, middle, high = found[c] or (None, None, None)
+        scaled[c] = F.lit(None).cast("double") if middle is None else (F.col(c) - middle) / ((high - low) or 1.0)
+    return rows.withColumns(scaled)
 
 
 def query_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
@@ -74,9 +103,16 @@ class KernelClassifier:
         self.model: PipelineModel | None = None
 
     def _mapped(self, rows: DataFrame) -> DataFrame:
-        angles = [sum((F.col(c) * float(w) for c, w in zip(self.columns, row)), F.lit(float(s))) for row, s in zip(self.weights, self.shifts)]
-        scale = sqrt(2 / len(self.shifts))
-        return rows.withColumn("_features", array_to_vector(F.array(*(F.cos(a) * scale for a in angles))))
+        """Adds the Fourier features, one matrix product for each Arrow batch."""
+        weights, shifts, scale = self.weights.T, self.shifts, sqrt(2 / len(self.shifts))
+
+        @F.pandas_udf("array<double>")
+        def features(values: pd.Series) -> pd.Series:
+            if not len(values):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(np.cos(np.stack(values.to_numpy()) @ weights + shifts) * scale))
+
+        return rows.withColumn("_features", array_to_vector(features(F.array(*(F.col(c).cast("double") for c in self.columns)))))
 
     def fit(self, rows: DataFrame, label: str = "label") -> KernelClassifier:
         rows = materialize(rows.select(label, *self.columns))

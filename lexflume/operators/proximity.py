@@ -56,21 +56,44 @@ def accumulate(words: list[list[int]], n: int, window: int = 2) -> list[float]:
     return out
 
 
-def _with_neighbours(lists: pa.ListArray, window: int) -> np.ndarray:
-    """The rows of list<list<int>> in which positions of two different words lie within the window, found by sorting all positions at once."""
+def close_sums(lists: pa.ListArray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, size, sum) of the words that have a close pair: the word's row in list<list<int>>, the number of its positions, and
+    what `accumulate` gives for it, for all rows at once.
+
+    Positions differ, so the walk's pair in hand is always a position and the next one of the other word: each position
+    adds to the sum if the other word follows within the window, and the last position of a word once more for every
+    position of the other word that follows within the window.
+    """
     words = lists.flatten()
     per_row = np.diff(lists.offsets.to_numpy())
     counts = np.diff(words.offsets.to_numpy())
+    row_of = np.repeat(np.arange(len(per_row)), per_row)
     position = words.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), counts)
     word = np.repeat(np.arange(len(counts)), counts)
+    row = row_of[word]
+    last = np.zeros(len(position), bool)
+    last[np.cumsum(counts)[counts > 0] - 1] = True
     order = np.lexsort((position, row))
-    position, row, word = position[order], row[order], word[order]
-    found = np.zeros(len(per_row), bool)
+    position, row, word, last = position[order], row[order], word[order], last[order]
+    at, to = [], []
     for step in range(1, window + 1):
-        close = (row[step:] == row[:-step]) & (position[step:] - position[:-step] <= window) & (word[step:] != word[:-step])
-        found[row[step:][close]] = True
-    return np.flatnonzero(found)
+        close = np.flatnonzero((row[step:] == row[:-step]) & (position[step:] - position[:-step] <= window) & (word[step:] != word[:-step]))
+        at.append(close)
+        to.append(close + step)
+    at, to = np.concatenate(at), np.concatenate(to)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    follows = np.unique(np.stack([at, word[to]]), axis=1)
+    behind = last[at]
+    own = np.concatenate([word[follows[0]], word[at[behind]]])
+    other = np.concatenate([follows[1], word[to[behind]]])
+    left = n[row_of] - counts + 1
+    weight = np.where(left > 0, np.log2(np.maximum(left, 1) / (counts + 0.5)), 0.0) / window**2
+    sums = np.zeros(len(counts))
+    np.add.at(sums, own, weight[other])
+    np.add.at(sums, other, weight[own])
+    some = np.flatnonzero(sums)
+    return row_of[some], counts[some], sums[some]
 
 
 def proximity_scores(index: SearchIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.4, window: int = 2) -> DataFrame:
@@ -78,19 +101,19 @@ def proximity_scores(index: SearchIndex, queries: DataFrame, k1: float = 1.5, b:
     min(log2((n - tf + 1) / (tf + 0.5)), 1) acc (k1 + 1) / (acc + k1 ((1 - b) + b dl / avgdl))."""
     base = sparse_scores(index, queries, bm25_index())
     terms = query_terms(queries).select("query_id", "term")
-    held = index.postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.collect_list("positions").alias("words"))
+    held = index.postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.collect_list("positions").alias("words")).where(F.size("words") > 1)
     rows = index.with_stats(held.join(index.doc_stats, "doc_id")).select("query_id", "doc_id", "words", "dl", "n", "avgdl")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(_with_neighbours(batch.column(2), window))
-            near = pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in range(6)], batch.schema.names)
-            bonus = []
-            words, dl, n, avgdl = (near.column(i).to_pylist() for i in range(2, 6))
-            for own, length, docs, mean in zip(words, dl, n, avgdl):
-                rarity = [min(log2((docs - len(w) + 1) / (len(w) + 0.5)), 1.0) if docs - len(w) + 1 > 0 else 0.0 for w in own]
-                bonus.append(sum(r * a * (k1 + 1) / (a + k1 * ((1 - b) + b * length / mean)) for r, a in zip(rarity, accumulate(own, docs, window)) if a))
-            yield pa.RecordBatch.from_arrays([near.column(0), near.column(1), pa.array(bonus, pa.float64())], ["query_id", "doc_id", "bonus"])
+            dl, n, mean = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3, 6))
+            row, size, acc = close_sums(batch.column(2), n, window)
+            left = n[row] - size + 1
+            rarity = np.where(left > 0, np.minimum(np.log2(np.maximum(left, 1) / (size + 0.5)), 1.0), 0.0)
+            bonus = np.zeros(len(dl))
+            np.add.at(bonus, row, rarity * acc * (k1 + 1) / (acc + k1 * ((1 - b) + b * dl[row] / mean[row])))
+            some = pa.array(np.unique(row))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(bonus).take(some)], ["query_id", "doc_id", "bonus"])
 
     kinds = dict(rows.dtypes)
     extra = rows.mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, bonus double")

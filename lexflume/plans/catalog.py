@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexflume.plans import classify, evaluation, retrieval, skew, web
+from lexflume.plans import classify, evaluation, formats, retrieval, skew, web
 
-MODULES = (retrieval, evaluation, web, classify, skew)
+MODULES = (retrieval, evaluation, web, classify, skew, formats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

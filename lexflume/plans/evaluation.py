@@ -97,13 +97,13 @@ def ltr_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (eval_binary_per_query, eval_binary_mean, eval_graded_per_query, eval_graded_mean, eval_graded_repeated, eval_binary_repeated, pr_points, pr_curve_11pt, ltr_pairs, ltr_features, ltr_robust_scaled, ltr_folds, ltr_cross_validated)}
 
 
-def _best(name: str, k: int) -> str:
+def best_sql(name: str, k: int) -> str:
     return f"""SELECT query_id, doc_id, score, rank FROM (
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
       SELECT query_id, doc_id, max(score) AS score FROM {name} WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY query_id, doc_id)) WHERE rank <= {k}"""
 
 
-_INPUT = f"""run AS ({_best(BM25, 1000)}), qrels AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN 2 ELSE 1 END AS grade FROM ({_best(TFIDF, 50)}))"""
+_INPUT = f"""run AS ({best_sql(BM25, 1000)}), qrels AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN 2 ELSE 1 END AS grade FROM ({best_sql(TFIDF, 50)}))"""
 _BINARY = f"""{_INPUT},
   cnt AS (SELECT query_id, count(*) AS n FROM qrels GROUP BY query_id),
   lab AS (SELECT run.query_id, run.doc_id, rank, CASE WHEN qrels.doc_id IS NULL THEN 0 ELSE 1 END AS rel, coalesce(n, 0) AS n
@@ -126,10 +126,10 @@ _GRADED = f"""{_INPUT},
         FROM run JOIN cnt ON cnt.query_id = run.query_id LEFT JOIN qrels ON qrels.query_id = run.query_id AND qrels.doc_id = run.doc_id),
   x AS (SELECT *, sum(grade) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM g)"""
 #: The judgment file with repeated lines: the last line is a document's grade, the totals take all lines.
-_LINES = f"""lines AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN 2 ELSE 1 END AS grade, rank AS at_ FROM ({_best(TFIDF, 50)})
-    UNION ALL SELECT query_id, doc_id, CASE WHEN rank % 2 = 0 THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, rank + 100 FROM ({_best(TFIDF, 50)}) WHERE rank % 3 = 0)"""
-_GRADED_REPEATED = _GRADED.replace(_INPUT, f"run AS ({_best(BM25, 1000)}), {_LINES}, qrels AS (SELECT query_id, doc_id, arg_max(grade, at_) AS grade FROM lines GROUP BY query_id, doc_id)").replace("AS num_rel FROM qrels", "AS num_rel FROM lines")
-_BINARY_REPEATED = _BINARY.replace(_INPUT, f"run AS ({_best(BM25, 1000)}), {_LINES}, qrels AS (SELECT DISTINCT query_id, doc_id FROM lines WHERE grade <> 0)").replace("count(*) AS n FROM qrels", "count(*) AS n FROM lines WHERE grade <> 0")
+LINES_SQL = f"""lines AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN 2 ELSE 1 END AS grade, rank AS at_ FROM ({best_sql(TFIDF, 50)})
+    UNION ALL SELECT query_id, doc_id, CASE WHEN rank % 2 = 0 THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, rank + 100 FROM ({best_sql(TFIDF, 50)}) WHERE rank % 3 = 0)"""
+_GRADED_REPEATED = _GRADED.replace(_INPUT, f"run AS ({best_sql(BM25, 1000)}), {LINES_SQL}, qrels AS (SELECT query_id, doc_id, arg_max(grade, at_) AS grade FROM lines GROUP BY query_id, doc_id)").replace("AS num_rel FROM qrels", "AS num_rel FROM lines")
+_BINARY_REPEATED = _BINARY.replace(_INPUT, f"run AS ({best_sql(BM25, 1000)}), {LINES_SQL}, qrels AS (SELECT DISTINCT query_id, doc_id FROM lines WHERE grade <> 0)").replace("count(*) AS n FROM qrels", "count(*) AS n FROM lines WHERE grade <> 0")
 _GRADED_ROWS = f"""
   SELECT query_id, count(*) AS num_ret, max(num_rel) AS num_rel, sum(grade) AS num_rel_ret,
     sum(grade * (1 + upto - grade) / rank) / max(num_rel) AS ap,
@@ -148,7 +148,7 @@ _PAIRS = f"""{_INPUT}, judged AS (SELECT query_id, doc_id, (grade - 1)::INT AS l
             WHERE query_id IN (SELECT query_id FROM judged) AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.query_id = run.query_id AND j.doc_id = run.doc_id)),
   pairs AS (SELECT * FROM judged UNION ALL SELECT query_id, doc_id, 0 FROM fresh LEFT JOIN have USING (query_id) WHERE place <= 1000 - coalesce(have, 0))"""
 _FEATURES = f"""{_PAIRS}, feats AS (SELECT pairs.query_id, pairs.doc_id, label, coalesce(run.score, 0.0) AS bm25, coalesce(j.score, -5000.0) AS jm, coalesce(t.score, 0.0) AS tfidf
-  FROM pairs LEFT JOIN run USING (query_id, doc_id) LEFT JOIN ({_best(JM, 1000)}) j USING (query_id, doc_id) LEFT JOIN ({_best(TFIDF, 1000)}) t USING (query_id, doc_id))"""
+  FROM pairs LEFT JOIN run USING (query_id, doc_id) LEFT JOIN ({best_sql(JM, 1000)}) j USING (query_id, doc_id) LEFT JOIN ({best_sql(TFIDF, 1000)}) t USING (query_id, doc_id))"""
 _SCALED = ", ".join(f"round(({c} - quantile_cont({c}, 0.5) OVER ()) / CASE WHEN quantile_cont({c}, 0.75) OVER () = quantile_cont({c}, 0.25) OVER () THEN 1 ELSE quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER () END, 6) AS {c}" for c in ("bm25", "jm", "tfidf"))
 
 ORACLE = {

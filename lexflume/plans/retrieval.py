@@ -21,7 +21,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _index(spark: SparkSession, sf_dir: str, keep: bool = False) -> SearchIndex:
+def index_of(spark: SparkSession, sf_dir: str, keep: bool = False) -> SearchIndex:
     return SearchIndex.build(_docs(spark, sf_dir), analyzer=ANALYZER, keep=keep)
 
 
@@ -34,19 +34,19 @@ def tokenize_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).doc_stats
+    return index_of(spark, sf_dir).doc_stats
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).term_stats
+    return index_of(spark, sf_dir).term_stats
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).stats.withColumn("avgdl", F.round("avgdl", 6))
+    return index_of(spark, sf_dir).stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
 def postings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).postings.select("term", "doc_id", "tf", F.array_join("positions", ",").alias("positions"))
+    return index_of(spark, sf_dir).postings.select("term", "doc_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
 def vocab_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(model: str, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ranking.search(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), model, DEPTH, **options)
+        return ranking.search(index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir), model, DEPTH, **options)
 
     return query
 
@@ -113,18 +113,18 @@ def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = _index(spark, sf_dir, keep=True), _queries(spark, sf_dir)
+    index, queries = index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir)
     run = ranking.search(index, queries, "bm25_vectors", 10)
     return feedback.expand(index, run, queries).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
 def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.significant_terms(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir))
+    rows = feedback.significant_terms(index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir))
     return rows.select("query_id", "source_term", "term", "foreground", "score")
 
 
 def prf_aggs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.expand_significant(_index(spark, sf_dir, keep=True), _queries(spark, sf_dir), STOPWORDS)
+    rows = feedback.expand_significant(index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir), STOPWORDS)
     return rows.select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
@@ -144,7 +144,7 @@ def _tokens(name: str, key: str) -> str:
   WHERE regexp_matches(term, '^[\\p{{L}}\\p{{N}}]+$')"""
 
 
-_INDEX = f"""
+INDEX_SQL = f"""
   tok AS ({_tokens('documents', 'doc_id')} AND term NOT IN ({_STOPPED})),
   post AS (SELECT term, doc_id, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id),
   terms AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS ttf FROM post GROUP BY term),
@@ -176,9 +176,9 @@ _WEIGHTS = {
     "bm25_vectors": _VECTORS,
     "match_builtin": "qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))",
 }
-_BASE = f"WITH {_INDEX}, {_QUERIES}, {_MATCHED}"
+_BASE = f"WITH {INDEX_SQL}, {_QUERIES}, {_MATCHED}"
 #: The naive form of the dense models: every query word against every document.
-_DENSE = f"""WITH {_INDEX}, {_QUERIES},
+_DENSE = f"""WITH {INDEX_SQL}, {_QUERIES},
   grid AS (SELECT query_id, term, qtf, doc_id, dl FROM q, docs),
   full_ AS (SELECT query_id, grid.doc_id, qtf, dl, coalesce(tf, 0) AS tf, coalesce(ttf, 100) AS ttf, v
             FROM grid LEFT JOIN post ON post.term = grid.term AND post.doc_id = grid.doc_id LEFT JOIN terms ON terms.term = grid.term, stats)"""
@@ -188,7 +188,7 @@ _FEEDBACK = f"""{_BASE},
   best AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS place FROM words QUALIFY place <= 2),
   fresh AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.query_id = best.query_id AND q.term = best.term))"""
 _OWN = "own AS (SELECT item_id AS query_id, string_agg(term, ' ' ORDER BY pos) AS own FROM qtok GROUP BY item_id)"
-_SIGNIFICANT = f"""WITH {_INDEX}, {_QUERIES},
+_SIGNIFICANT = f"""WITH {INDEX_SQL}, {_QUERIES},
   sources AS (SELECT DISTINCT term AS source_term FROM q),
   pairs AS (SELECT source_term, b.term, count(*) AS foreground FROM sources JOIN post a ON a.term = source_term JOIN post b ON b.doc_id = a.doc_id GROUP BY source_term, b.term HAVING count(*) >= 3),
   shares AS (SELECT source_term, pairs.term, foreground, foreground / s.df AS fg, t.df / n AS bg FROM pairs JOIN terms s ON s.term = source_term JOIN terms t ON t.term = pairs.term, stats),
@@ -196,13 +196,27 @@ _SIGNIFICANT = f"""WITH {_INDEX}, {_QUERIES},
   kept AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY source_term ORDER BY score DESC, term) <= 10),
   sig AS (SELECT query_id, source_term, kept.term, foreground, score FROM q JOIN kept ON kept.source_term = q.term)"""
 
+#: The pairs the walk visits, without the walk: a position counts once for each other word that follows within two places, the
+#: last position of a word once more for each such place.
+_PROXIMITY = f"""{_BASE},
+  qp AS (SELECT query_id, doc_id, term, tf, unnest(string_split(positions, ',')::INT[]) AS pos FROM q JOIN post USING (term)),
+  ends AS (SELECT query_id, doc_id, term, max(pos) AS last_pos FROM qp GROUP BY ALL),
+  near AS (SELECT a.query_id, a.doc_id, a.term AS one, b.term AS two, a.tf AS tf_v, b.tf AS tf_w, a.pos FROM (SELECT *, unnest([1, 2]) AS d FROM qp) a
+           JOIN qp b ON b.query_id = a.query_id AND b.doc_id = a.doc_id AND b.pos = a.pos + a.d WHERE a.term <> b.term),
+  dir AS (SELECT query_id, doc_id, one, two, tf_v, tf_w, count(DISTINCT pos) + count(*) FILTER (pos = last_pos) AS close FROM near JOIN ends USING (query_id, doc_id) WHERE ends.term = one GROUP BY ALL),
+  both_ AS (SELECT query_id, doc_id, one, tf_v, tf_w, close FROM dir UNION ALL SELECT query_id, doc_id, two, tf_w, tf_v, close FROM dir),
+  acc AS (SELECT query_id, doc_id, one, tf_v, sum(CASE WHEN n - tf_w + 1 > 0 THEN close * log2((n - tf_w + 1) / (tf_w + 0.5::DOUBLE)) / 4 ELSE 0 END) AS acc FROM both_, stats GROUP BY ALL),
+  bonus AS (SELECT query_id, doc_id, sum(CASE WHEN n - tf_v + 1 > 0 THEN least(log2((n - tf_v + 1) / (tf_v + 0.5::DOUBLE)), 1) ELSE 0 END * acc * 2.5 / (acc + 1.5 * (0.6 + 0.4 * dl / avgdl))) AS bonus
+            FROM acc JOIN docs USING (doc_id), stats WHERE acc <> 0 GROUP BY query_id, doc_id)"""
+
 ORACLE = {
+    "proximity_bm25": f"{_PROXIMITY} {_rank('SELECT query_id, doc_id, score + coalesce(bonus, 0) AS score FROM (' + _sparse(_WEIGHTS['bm25_index']) + ') LEFT JOIN bonus USING (query_id, doc_id)')}",
     "tokenize_positions": _tokens("documents", "doc_id"),
-    "doc_lengths": f"WITH {_INDEX} SELECT doc_id, dl FROM docs",
-    "term_stats": f"WITH {_INDEX} SELECT term, df, ttf FROM terms",
-    "collection_stats": f"WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl, v, sum_ttf FROM stats",
-    "postings_list": f"WITH {_INDEX} SELECT term, doc_id, tf, positions FROM post",
-    "index_merge": f"WITH {_INDEX} SELECT term, doc_id, tf, positions FROM post",
+    "doc_lengths": f"WITH {INDEX_SQL} SELECT doc_id, dl FROM docs",
+    "term_stats": f"WITH {INDEX_SQL} SELECT term, df, ttf FROM terms",
+    "collection_stats": f"WITH {INDEX_SQL} SELECT n, round(avgdl, 6) AS avgdl, v, sum_ttf FROM stats",
+    "postings_list": f"WITH {INDEX_SQL} SELECT term, doc_id, tf, positions FROM post",
+    "index_merge": f"WITH {INDEX_SQL} SELECT term, doc_id, tf, positions FROM post",
     "vocab_exact": r"SELECT count(DISTINCT t) AS v, count(*) AS tokens FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents)",
     "stopword_filter": rf"SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS t FROM documents) WHERE t NOT IN ({_STOPPED}) GROUP BY doc_id",
     "stopword_substring": rf"SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS t FROM documents) WHERE NOT contains(array_to_string([{_STOPPED}], chr(10)), t) GROUP BY doc_id",

@@ -77,6 +77,13 @@ def _delete(session: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, removed at the end like written tables."""
+    path = f"{shared_folder(spark)}/lexflume_{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the tables behind frames that `materialize` returned, once nothing reads them any more; others are left alone."""
     for frame in frames:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import email
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,11 +20,20 @@ def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def _documents(files: DataFrame, charset: str) -> DataFrame:
+def _records(spark: SparkSession, path: str, glob: str | None = None, end: str | None = None) -> DataFrame:
+    """(path, at, value) of the records of text files that end with `end` (by default lines), as bytes. Files are split
+    among tasks; `at` orders the records of a file."""
+    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+    rows = (reader if end is None else reader.option("lineSep", end)).text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), F.col("value").cast("binary").alias("value"))
+
+
+def _documents(spark: SparkSession, path: str, glob: str | None, charset: str) -> DataFrame:
     """(path, at, body) of every <DOC> ... </DOC> block."""
-    text = F.regexp_replace(F.decode("content", charset), "\r\n?", "\n")
-    blocks = files.where(~F.lower("path").rlike(r"/readme$")).select("path", F.posexplode(F.split(text, "</DOC>")).alias("at", "body"))
-    return blocks.where(F.contains("body", F.lit("<DOCNO>"))).withColumn("body", F.element_at(F.split("body", "<DOC>"), -1))
+    rows = _records(spark, path, glob, "</DOC>").where(~F.lower("path").rlike(r"/readme$"))
+    blocks = rows.select("path", "at", F.regexp_replace(F.decode("value", charset), "\r\n?", "\n").alias("body")).where(F.contains("body", F.lit("<DOCNO>")))
+    return blocks.withColumn("body", F.element_at(F.split("body", "<DOC>"), -1))
 
 
 def _docno(body: Column) -> Column:
@@ -38,7 +46,7 @@ def read_trec(spark: SparkSession, path: str, glob: str | None = None, charset:
     The text is that of the first <TEXT> block with its lines joined by blanks, or of the last one (`last_text`).
     `keep_markup_tail` keeps the word of the closing mark, as parsers that read to the end of a document do.
     """
-    rows = _documents(_files(spark, path, glob), charset)
+    rows = _documents(spark, path, glob, charset)
     texts = F.regexp_extract_all("body", F.lit(r"(?s)<TEXT>(.*?)</TEXT>"), 1)
     text = F.when(F.size(texts) == 0, "").otherwise(F.element_at(texts, -1 if last_text else 1))
     text = F.trim(F.regexp_replace(text, r"\n+", " "))
@@ -49,16 +57,15 @@ def read_trec(spark: SparkSession, path: str, glob: str | None = None, charset:
 
 def read_crawl_documents(spark: SparkSession, path: str, glob: str | None = None, budget: int = 40_000) -> DataFrame:
     """(url, title, text) of crawled documents in the same markup (UTF-8). Of repeated URLs the last one counts; at most `budget` documents, the first in file order."""
-    rows = _documents(_files(spark, path, glob), "UTF-8").withColumn("url", _docno(F.col("body")))
+    rows = _documents(spark, path, glob, "UTF-8").withColumn("url", _docno(F.col("body")))
     last = W.partitionBy("url").orderBy(F.desc("path"), F.desc("at"))
     kept = rows.withColumn("n", F.row_number().over(last)).where("n = 1").orderBy("path", "at").limit(budget)
     return kept.select("url", F.trim(F.regexp_extract("body", r"(?s)<TITLE>(.*?)</TITLE>", 1)).alias("title"), F.trim(F.regexp_replace(F.regexp_extract("body", r"(?s)<TEXT>(.*?)</TEXT>", 1), r"\n+", " ")).alias("text"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, at, value) with line numbers within each file."""
-    files = _files(spark, path, None).select("path", F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n"), "\n")).alias("at", "value"))
-    return files
+    """(path, at, value): the lines of the files, in the order of `at` within each."""
+    return _records(spark, path).withColumn("value", F.decode("value", "UTF-8"))
 
 
 def read_link_json(spark: SparkSession, path: str) -> DataFrame:
@@ -95,11 +102,11 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.col("p")[i].try_cast(t).alias(n) for i, (n, t) in enumerate(x.split(" ") for x in RUN.split(", "))))
 
 
-def read_qrels(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
-    """Judgments of four fields; `binary` keeps those with a grade other than 0."""
-    parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("p"))
-    rows = rows.select(*(F.col("p")[i].try_cast(t).alias(n) for i, (n, t) in enumerate(x.split(" ") for x in QRELS.split(", "))))
+def read_qrels(spark: SparkSession, path: str, binary: bool = False, numbered: bool = False) -> DataFrame:
+    """Judgments of four fields; `binary` keeps those with a grade other than 0; `numbered` adds `at`, which orders all
+    lines of all files, so that the last of repeated judgments can be told."""
+    rows = _lines(spark, path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p"), F.struct("path", "at").alias("at"))
+    rows = rows.select(*(F.col("p")[i].try_cast(t).alias(n) for i, (n, t) in enumerate(x.split(" ") for x in QRELS.split(", "))), *(["at"] if numbered else []))
     return rows.where("grade <> 0") if binary else rows
 
 
@@ -153,6 +160,3 @@ def read_mail_corpus(spark: SparkSession, index_path: str, mail_path: str, glob:
     files = _files(spark, mail_path, glob).select(F.regexp_extract("path", r"inmail\.(.*)$", 1).alias("doc_id"), F.decode("content", "ISO-8859-1").alias("raw"))
     return index.join(mail_parts(files, "doc_id", "raw").withColumnRenamed("id", "doc_id"), "doc_id")
 
-
-def extension_of(path: str) -> str:
-    return re.sub(r"^.*\.", "", path)

@@ -41,6 +41,15 @@ def link_lines(links: DataFrame, key: str = "url", column: str = "links") -> Dat
     return links.select(F.to_json(F.create_map(F.col(key), F.coalesce(F.col(column), F.array().cast("array<string>")))).alias("value"))
 
 
+def page_lines(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
+    """Lines of {"url": "raw HTML"}."""
+    return pages.select(F.to_json(F.create_map(F.col(key), F.coalesce(F.col(html), F.lit("")))).alias("value"))
+
+
+def write_pages(pages: DataFrame, path: str, key: str = "url", html: str = "html") -> None:
+    page_lines(pages, key, html).write.mode("overwrite").text(path)
+
+
 def write_links(links: DataFrame, path: str, key: str = "url", column: str = "links") -> None:
     link_lines(links, key, column).write.mode("overwrite").text(path)
 
@@ -53,8 +62,11 @@ def score_lines(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.desc("score"), "node").select(F.concat_ws("\t", *parts).alias("value"))
 
 
-def write_scores(scores: DataFrame, path: str) -> None:
-    score_lines(scores).coalesce(1).write.mode("overwrite").text(path)
+def write_scores(scores: DataFrame, path: str, k: int | None = 500) -> None:
+    """The `k` best scores as one file, or (None) all of them as files in order."""
+    best = scores if k is None else scores.orderBy(F.desc("score"), "node").limit(k)
+    lines = score_lines(best)
+    (lines if k is None else lines.coalesce(1)).write.mode("overwrite").text(path)
 
 
 def write_features(rows: DataFrame, path: str) -> None:
