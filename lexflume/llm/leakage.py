@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexflume.functions.arrow import text_slices
 from lexflume.functions.words import words
 
 BLOCK_CHARS = 8_000_000
+HITS_AT_ONCE = 4_000_000
 
 
 class TestSuffixes:
@@ -27,7 +29,7 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
+    def __init__(self, items: list[tuple[object, str]], least: int) -> None:
         self.least = least
         self.number: dict[bytes, int] = {}
         codes, starts, owners, self.longest = [], [], [], 0
@@ -111,11 +113,22 @@ def shard_matches(texts: list[str | None], tests: TestSuffixes) -> tuple[np.ndar
     wanted = tests.codes[tests.starts[:, None] + np.arange(tests.least)]
     low, high = _bisect(text_codes, order, wanted, False), _bisect(text_codes, order, wanted, True)
     many = high - low
-    total = int(many.sum())
-    if not total:
-        return nothing
+    # a repetitive text may have every test suffix at every place: the hits are extended a part at a time
+    ends = np.cumsum(many)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + HITS_AT_ONCE, HITS_AT_ONCE), "left"))
+    bounds = [0, *(int(c) for c in cuts if 0 < c < len(many)), len(many)]
+    parts = [_extended(text_codes, order, low[a:b], many[a:b], np.arange(a, b), tests) for a, b in zip(bounds[:-1], bounds[1:])]
+    which, at, length = (np.concatenate(x) for x in zip(*parts))
+    item_start = np.concatenate([[0], np.flatnonzero(tests.codes == -1) + 1])
+    begins = tests.starts[which]
+    return np.array(owner)[at], tests.owners[which], length, np.array(place)[at], begins - item_start[np.searchsorted(item_start, begins, "right") - 1]
+
+
+def _extended(text_codes: np.ndarray, order: np.ndarray, low: np.ndarray, many: np.ndarray, suffixes: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(test suffix, place in the shard, words) of the maximal matches among the hits of some test suffixes."""
     which = np.repeat(np.arange(len(many)), many)
-    at = order[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)]
+    at = order[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))]
+    which = suffixes[which]
     begins = tests.starts[which]
     maximal = tests.first[which] | (at == 0) | (text_codes[at - 1] != tests.codes[begins - 1])
     which, at, begins = which[maximal], at[maximal], begins[maximal]
@@ -124,9 +137,7 @@ def shard_matches(texts: list[str | None], tests: TestSuffixes) -> tuple[np.ndar
     while len(going):
         going = going[text_codes[at[going] + length[going]] == tests.codes[begins[going] + length[going]]]
         length[going] += 1
-    item = tests.owners[which]
-    item_start = np.concatenate([[0], np.flatnonzero(tests.codes == -1) + 1])
-    return np.array(owner)[at], item, length, np.array(place)[at], begins - item_start[np.searchsorted(item_start, begins, "right") - 1]
+    return which, at, length
 
 
 def find_leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, least: int = 12) -> DataFrame:
@@ -140,10 +151,12 @@ def find_leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, i
     characters, with one pass over the documents for each block.
     """
     spark = docs.sparkSession
-    tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    tests = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS) + 1
-    rows = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    doc_kind, item_kind = (f.schema[0].dataType for f in (rows, tests))
+    item_type = to_arrow_type(item_kind)
     found = None
     for block in range(blocks):
         own = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
@@ -151,14 +164,14 @@ def find_leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, i
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             wanted = sent.value
-            ids = np.array(wanted.ids, np.int64)
+            ids = pa.array(wanted.ids, item_type)
             for batch in batches:
                 for part, texts in text_slices(batch):
                     text, item, length, doc_word, item_word = shard_matches(texts, wanted)
                     if len(text):
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(ids[item]), pa.array(length), pa.array(doc_word.astype(np.int64)), pa.array(item_word)], ["doc", "item", "words", "doc_word", "item_word"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), ids.take(pa.array(item)), pa.array(length), pa.array(doc_word.astype(np.int64)), pa.array(item_word)], ["doc", "item", "words", "doc_word", "item_word"])
 
-        part = rows.mapInArrow(run, "doc long, item long, words long, doc_word long, item_word long")
+        part = rows.mapInArrow(run, f"doc {doc_kind.simpleString()}, item {item_kind.simpleString()}, words long, doc_word long, item_word long")
         found = part if found is None else found.unionByName(part)
     return found
 

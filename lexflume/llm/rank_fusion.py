@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from lexflume.session import materialize, release
 
 DAMPING = 0.5
-TOLERANCE = 1e-10
+#: A walk has settled when no share moves by more than this part of its group's mean share.
+TOLERANCE = 1e-12
 MOST_STEPS = 200
 RELATIVE_DIGITS = 9
 WHOLE = 400_000
@@ -71,7 +72,7 @@ def stationary(scores: np.ndarray, starts: np.ndarray, damping: float = DAMPING,
             above[:-1] = np.cumsum((share[order] / reached)[::-1])[::-1]
             new[order] += above[tie_start] - above[last]
         new = rest + damping / runs * new
-        change = np.abs(new - share).max() if n else 0.0
+        change = (np.abs(new - share) * sizes[group]).max() if n else 0.0
         share = new
         if change < tolerance:
             return share
@@ -122,7 +123,7 @@ def _hot_walk(items: DataFrame, runs: int, damping: float, tolerance: float, mos
         below = sent.groupBy(*key).agg(F.sum("sent").alias("own")).withColumn("below", F.coalesce(F.sum("own").over(later), F.lit(0.0))).drop("own")
         got = sent.withColumn("got", F.sum("sent").over(upto)).join(below, key).groupBy("grp", "item").agg(F.sum(F.col("got") + F.col("below")).alias("got"), F.first("share").alias("old"), F.first("count").alias("count"))
         new = materialize(got.select("grp", "item", "count", "old", ((1 - damping) / F.col("count") + damping / runs * F.col("got")).alias("share")))
-        change = new.agg(F.max(F.abs(F.col("share") - F.col("old")))).first()[0] or 0.0
+        change = new.agg(F.max(F.abs(F.col("share") - F.col("old")) * F.col("count"))).first()[0] or 0.0
         release(state)
         state = new
         if change < tolerance:

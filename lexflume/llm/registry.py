@@ -131,8 +131,36 @@ _LEAKS = f"""
   leaks AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id FROM d JOIN b USING (g))"""
 
 
+def _placed(key: str, name: str) -> str:
+    """Every run of twelve words with its place."""
+    return f"""
+  SELECT {key} AS id, at_, array_to_string(w[at_:at_ + 11], ' ') AS g
+  FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS at_ FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name}) WHERE len(w) >= 12)"""
+
+
+def _walk(rounds: int) -> str:
+    """The chain's shares after so many rounds, each a sum over all items ranked no higher."""
+    runs = range(len(RUNS))
+    best = [f"b{k} AS (SELECT query_id, doc_id, max(score) AS s{k} FROM {name} WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL)" for k, name in enumerate(RUNS)]
+    reached = ", ".join(f"count(*) OVER (PARTITION BY query_id ORDER BY s{k} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c{k}" for k in runs)
+    step = " + ".join(f"sum(share / c{k}) OVER (PARTITION BY query_id ORDER BY s{k} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for k in runs)
+    names = ", ".join(f"s{k}, c{k}" for k in runs)
+    steps = [f"w0 AS MATERIALIZED (SELECT *, 1 / n::DOUBLE AS share FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {reached} FROM b0 JOIN b1 USING (query_id, doc_id) JOIN b2 USING (query_id, doc_id)))"]
+    steps += [f"w{r} AS MATERIALIZED (SELECT query_id, doc_id, {names}, n, 0.5 / n + 0.5::DOUBLE / {len(RUNS)} * ({step}) AS share FROM w{r - 1})" for r in range(1, rounds + 1)]
+    rank = f"ranked AS (SELECT query_id, doc_id, n, share, row_number() OVER (PARTITION BY query_id ORDER BY round(share * n, 9) DESC, doc_id)::INT AS rank FROM w{rounds})"
+    return ",\n  ".join([*best, *steps, rank])
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"WITH {_walk(46)} SELECT query_id, doc_id FROM ranked WHERE n >= 40 AND rank <= 3",
+        "p2_ranking": f"WITH {_walk(46)} SELECT query_id, doc_id, round(share, 9) AS share, rank FROM ranked",
+        "p9_leaked_items": f"""
+            WITH d AS ({_placed('doc_id', 'documents')}), b AS ({_placed('item_id', 'benchmark')}),
+            m AS (SELECT d.id AS doc, b.id AS item, d.at_ AS at_, d.at_ - b.at_ AS diagonal FROM d JOIN b USING (g)),
+            runs AS (SELECT doc, item, diagonal, at_ - row_number() OVER (PARTITION BY doc, item, diagonal ORDER BY at_) AS run FROM (SELECT DISTINCT * FROM m)),
+            lengths AS (SELECT doc, item, count(*) + 11 AS words FROM runs GROUP BY doc, item, diagonal, run)
+            SELECT item AS item_id, count(DISTINCT doc) AS docs, max(words) AS longest FROM lengths GROUP BY item""",
         "p1_found": f"""
             WITH s AS (SELECT DISTINCT id, hash(g) AS g FROM ({_grams('page_id', 'content', 3, 'hurricane_index')})),
             n AS (SELECT id, count(*) AS n FROM s GROUP BY id),

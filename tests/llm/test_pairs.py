@@ -161,6 +161,15 @@ def test_leaks_in_blocks_and_empty(spark, monkeypatch):
     assert leakage.find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
+def test_repetitive_texts_and_text_ids(spark, monkeypatch):
+    items = spark.createDataFrame([("i", "again " * 30), ("j", " ".join(f"b{k}" for k in range(20)))], "item_id string, text string")
+    docs = spark.createDataFrame([("d", "again " * 200), ("e", " ".join(f"b{k}" for k in range(3, 18))), ("f", "again " * 11)], "doc_id string, text string")
+    rows = lambda: {tuple(r) for r in leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
+    whole = rows()
+    monkeypatch.setattr(leakage, "HITS_AT_ONCE", 50)
+    assert rows() == whole and {r[:2] for r in whole} == {("d", "i"), ("e", "j")} and max(r[2] for r in whole) == 30
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 4, 300).astype(np.int32)
