@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexflume.functions.analysis import Analyzer, clean_words, not_stopped_substring, stop_set, word_list
@@ -101,15 +102,17 @@ RUNS = {
 
 
 def vector_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 over the news collection's term vectors, for three-term queries made of each document group's catalog terms."""
+    """BM25 over the news collection's term vectors; the queries are the three terms with the longest posting lists of each partial index of the catalog."""
     index = SearchIndex.from_vectors(table(spark, sf_dir, "term_vectors_new"))
-    queries = spark.createDataFrame([("1", 0, "storm"), ("1", 1, "coast"), ("2", 0, "flood"), ("2", 1, "water"), ("2", 2, "flood"), ("3", 0, "hurrican"), ("3", 1, "wind")], "query_id string, qpos int, term string")
+    longest = table(spark, sf_dir, "full_catalog").where("term IS NOT NULL AND length IS NOT NULL").groupBy("group_no", "term").agg(F.max("length").alias("length"))
+    place = F.row_number().over(W.partitionBy("group_no").orderBy(F.desc("length"), "term")) - 1
+    queries = longest.withColumn("qpos", place).where("qpos < 3").select(F.col("group_no").cast("string").alias("query_id"), "qpos", "term")
     return ranking.search(index, queries, "bm25_vectors", DEPTH)
 
 
 def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = table(spark, sf_dir, "results_okapibm25_aggs_new").where("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return run_lines(run.withColumn("score", (F.col("score") * 10000).cast("long")))
+    return run_lines(run)
 
 
 def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,13 +239,14 @@ ORACLE = {
                QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ln(n / coalesce(df, 100)), 9) DESC, term) <= 1)
       SELECT query_id, term || ' ' || own AS terms FROM own JOIN best USING (query_id)""",
     "vector_bm25": f"""
-      WITH q AS (SELECT * FROM (VALUES ('1', 'storm', 1.0::DOUBLE), ('1', 'coast', 1.0), ('2', 'flood', 2.0), ('2', 'water', 1.0), ('3', 'hurrican', 1.0), ('3', 'wind', 1.0)) t(query_id, term, qtf)),
+      WITH q AS (SELECT group_no::VARCHAR AS query_id, term, 1.0::DOUBLE AS qtf FROM (SELECT group_no, term, max(length) AS length FROM full_catalog WHERE term IS NOT NULL AND length IS NOT NULL GROUP BY ALL)
+                 QUALIFY row_number() OVER (PARTITION BY group_no ORDER BY length DESC, term) <= 3),
       post AS (SELECT term, doc_id, max(term_freq) AS tf FROM term_vectors_new WHERE doc_id IS NOT NULL AND term IS NOT NULL AND term_freq >= 1 GROUP BY term, doc_id),
       terms AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM post GROUP BY term), docs AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),
       stats AS (SELECT count(*) AS n, avg(dl) AS avgdl, 0 AS v FROM docs), {_MATCHED} {_rank(_sparse(_VECTORS))}""",
     "run_file": """
       SELECT query_id, rank, concat_ws(' ', query_id, 'Q0', doc_id, rank, score, 'Exp') AS value FROM (
         SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
-          SELECT query_id, doc_id, trunc(max(score) * 10000)::BIGINT AS score FROM results_okapibm25_aggs_new WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY query_id, doc_id))
+          SELECT query_id, doc_id, max(score) AS score FROM results_okapibm25_aggs_new WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY query_id, doc_id))
       WHERE rank <= 1000""",
 }
