@@ -11,8 +11,11 @@ from lexflume.functions.analysis import Analyzer
 from lexflume.session import materialize
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions) from (doc_id, pos, term): one shuffle by (term, doc_id), so frequent terms spread."""
+def postings(tokens: DataFrame, positions: bool = True) -> DataFrame:
+    """(term, doc_id, tf, positions) from (doc_id, pos, term): one shuffle by (term, doc_id), so frequent terms spread. Without
+    positions (left empty) tasks send counts only."""
+    if not positions:
+        return tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf")).withColumn("positions", F.array().cast("array<int>"))
     return tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -58,13 +61,14 @@ class SearchIndex:
         return cls(docs, post, term_stats(post), doc_stats(post), collection_stats(docs, post, approximate))
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, keep: bool = False) -> SearchIndex:
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, keep: bool = False, positions: bool = True) -> SearchIndex:
         """Index a collection. Empty and null texts count as documents without terms; repeated ids are one document.
 
         `keep` writes the postings to the shared folder once, so that statistics and searches read them instead of the texts.
+        Only the proximity model and merges need `positions`.
         """
         ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-        post = postings((analyzer or Analyzer()).tokens(docs, id_col, text_col))
+        post = postings((analyzer or Analyzer()).tokens(docs, id_col, text_col), positions)
         return cls.of(ids, materialize(post) if keep else post)
 
     @classmethod

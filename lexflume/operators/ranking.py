@@ -1,7 +1,8 @@
 """Ranking models over an index: one matched set, one expression per model, one window for the cut.
 
-The matched set joins postings with the query terms, term and document statistics and the one-row collection
-statistics. Query terms are few in number and Catalyst broadcasts them by size; postings are read once.
+The weight of a sparse model is a product of a part that belongs to the query's term and a part that belongs to the posting.
+Each part is computed where its rows are few, once per term and once per posting; a match is a multiplication. Query
+terms are few in number and Catalyst broadcasts them by size; postings are read once.
 """
 
 from __future__ import annotations
@@ -22,51 +23,51 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def matched(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf, doc_id, tf, dl, df, ttf, n, avgdl, v) of all matching (query, term, document)."""
-    terms = query_terms(queries).join(index.term_stats, "term")
-    rows = index.postings.select("term", "doc_id", "tf").join(terms, "term").join(index.doc_stats, "doc_id")
-    return index.with_stats(rows)
-
-
 def _okapi() -> Column:
     return F.col("tf") / (F.col("tf") + 0.5 + 1.5 * F.col("dl") / F.col("avgdl"))
 
 
-def okapi_tf() -> Column:
-    return F.col("qtf") * _okapi()
+Parts = tuple[Column, Column]
+
+
+def okapi_tf() -> Parts:
+    """(part of the query's term by qtf, df and n; part of the posting by tf, dl and avgdl); so for all sparse models."""
+    return F.col("qtf"), _okapi()
 
 
-def tf_idf() -> Column:
-    return F.col("qtf") * _okapi() * F.log2(F.col("n") / F.col("df"))
+def tf_idf() -> Parts:
+    return F.col("qtf") * F.log2(F.col("n") / F.col("df")), _okapi()
 
 
-def bm25_index(k1: float = 1.5, k2: float = 1.2, b: float = 0.5) -> Column:
+def bm25_index(k1: float = 1.5, k2: float = 1.2, b: float = 0.5) -> Parts:
     """Over distinct query words; the idf may be negative."""
     idf = F.log2((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     own = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return idf * own * F.col("qtf") * (k2 + 1) / (F.col("qtf") + k2)
+    return idf * F.col("qtf") * (k2 + 1) / (F.col("qtf") + k2), own
 
 
-def bm25_vectors(k1: float = 1.2, k2: float = 1.2, b: float = 0.75) -> Column:
+def bm25_vectors(k1: float = 1.2, k2: float = 1.2, b: float = 0.75) -> Parts:
     """Summed over word occurrences, so qtf counts on top of its own factor."""
     idf = F.log2((F.col("n") + 0.5) / (F.col("df") + 0.5))
     own = (F.col("tf") + k1 * F.col("tf")) / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))
-    return F.col("qtf") * idf * own * (F.col("qtf") + k2 * F.col("qtf")) / (F.col("qtf") + k2)
+    return F.col("qtf") * idf * (F.col("qtf") + k2 * F.col("qtf")) / (F.col("qtf") + k2), own
 
 
-def match_builtin(k1: float = 1.2, b: float = 0.75) -> Column:
+def match_builtin(k1: float = 1.2, b: float = 0.75) -> Parts:
     """The published BM25 with a positive idf, as search services use it."""
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return F.col("qtf") * idf, F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
 
-SPARSE: dict[str, Callable[[], Column]] = {"okapi_tf": okapi_tf, "tfidf": tf_idf, "bm25_index": bm25_index, "bm25_vectors": bm25_vectors, "match": match_builtin}
+SPARSE: dict[str, Callable[..., Parts]] = {"okapi_tf": okapi_tf, "tfidf": tf_idf, "bm25_index": bm25_index, "bm25_vectors": bm25_vectors, "match": match_builtin}
 
 
-def sparse_scores(index: SearchIndex, queries: DataFrame, weight: Column) -> DataFrame:
+def sparse_scores(index: SearchIndex, queries: DataFrame, parts: Parts) -> DataFrame:
     """(query_id, doc_id, score) of matching documents."""
-    return matched(index, queries).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    of_term, of_posting = parts
+    terms = index.with_stats(query_terms(queries).join(index.term_stats, "term")).select("query_id", "term", of_term.alias("of_term"))
+    post = index.with_stats(index.postings.select("term", "doc_id", "tf").join(index.doc_stats, "doc_id")).select("term", "doc_id", of_posting.alias("of_posting"))
+    return post.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("of_term") * F.col("of_posting")).alias("score"))
 
 
 def _dense(index: SearchIndex, queries: DataFrame, part: Column, constants: DataFrame, constant: Column, first: DataFrame) -> DataFrame:

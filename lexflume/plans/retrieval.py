@@ -22,8 +22,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def index_of(spark: SparkSession, sf_dir: str, keep: bool = False) -> SearchIndex:
-    return SearchIndex.build(_docs(spark, sf_dir), analyzer=ANALYZER, keep=keep)
+def index_of(spark: SparkSession, sf_dir: str, keep: bool = False, positions: bool = True) -> SearchIndex:
+    return SearchIndex.build(_docs(spark, sf_dir), analyzer=ANALYZER, keep=keep, positions=positions)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(model: str, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ranking.search(index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir), model, DEPTH, **options)
+        return ranking.search(index_of(spark, sf_dir, keep=True, positions=model == "proximity"), _queries(spark, sf_dir), model, DEPTH, **options)
 
     return query
 
@@ -116,18 +116,18 @@ def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir)
+    index, queries = index_of(spark, sf_dir, keep=True, positions=False), _queries(spark, sf_dir)
     run = ranking.search(index, queries, "bm25_vectors", 10)
     return feedback.expand(index, run, queries).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
 def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.significant_terms(index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir))
+    rows = feedback.significant_terms(index_of(spark, sf_dir, keep=True, positions=False), _queries(spark, sf_dir))
     return rows.select("query_id", "source_term", "term", "foreground", "score")
 
 
 def prf_aggs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feedback.expand_significant(index_of(spark, sf_dir, keep=True), _queries(spark, sf_dir), STOPWORDS)
+    rows = feedback.expand_significant(index_of(spark, sf_dir, keep=True, positions=False), _queries(spark, sf_dir), STOPWORDS)
     return rows.select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
