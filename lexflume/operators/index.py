@@ -64,12 +64,15 @@ class SearchIndex:
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, keep: bool = False, positions: bool = True) -> SearchIndex:
         """Index a collection. Empty and null texts count as documents without terms; repeated ids are one document.
 
-        `keep` writes the postings to the shared folder once, so that statistics and searches read them instead of the texts.
+        `keep` writes the postings and their statistics to the shared folder once, so that searches read them instead of the texts.
         Only the proximity model and merges need `positions`.
         """
         ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
         post = postings((analyzer or Analyzer()).tokens(docs, id_col, text_col), positions)
-        return cls.of(ids, materialize(post) if keep else post)
+        if not keep:
+            return cls.of(ids, post)
+        built = cls.of(materialize(ids), materialize(post))
+        return cls(built.docs, built.postings, materialize(built.term_stats), materialize(built.doc_stats), materialize(built.stats))
 
     @classmethod
     def from_vectors(cls, vectors: DataFrame, doc_col: str = "doc_id", term_col: str = "term", freq_col: str = "term_freq") -> SearchIndex:

@@ -3,7 +3,7 @@
 The bonus comes from a walk over the sorted positions of two words. At each step the pair in hand adds to the sum if
 its distance is at most the window; then the pointer of the smaller position moves on. Once a list ends, the pair
 in hand is taken again and the rest of the other list is compared with the last position of the ended one. What is
-visited depends on the walk, so this isn't a range join; it runs over Arrow batches of (query, document).
+visited depends on the walk; `close_pairs` says it for all words of a batch of documents at once, without walking.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexflume.operators.index import SearchIndex
 from lexflume.operators.ranking import bm25_index, query_terms, sparse_scores
+from lexflume.session import materialize, maybe_broadcast
 
 
 def visited_close(left: list[int], right: list[int], window: int) -> int:
@@ -56,12 +57,12 @@ def accumulate(words: list[list[int]], n: int, window: int = 2) -> list[float]:
     return out
 
 
-def close_sums(lists: pa.ListArray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, size, sum) of the words that have a close pair: the word's row in list<list<int>>, the number of its positions, and
-    what `accumulate` gives for it, for all rows at once.
+def close_pairs(lists: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row_of, counts, own, other, times) for list<list<int>>: the row and the number of positions of every word, and for
+    every ordered pair of words of a row how many close pairs the walk visits.
 
     Positions differ, so the walk's pair in hand is always a position and the next one of the other word: each position
-    adds to the sum if the other word follows within the window, and the last position of a word once more for every
+    counts once if the other word follows within the window, and the last position of a word once more for every
     position of the other word that follows within the window.
     """
     words = lists.flatten()
@@ -81,40 +82,47 @@ def close_sums(lists: pa.ListArray, n: np.ndarray, window: int) -> tuple[np.ndar
         at.append(close)
         to.append(close + step)
     at, to = np.concatenate(at), np.concatenate(to)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    follows = np.unique(np.stack([at, word[to]]), axis=1)
+    follows = np.unique(np.stack([at, word[to]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
     behind = last[at]
-    own = np.concatenate([word[follows[0]], word[at[behind]]])
-    other = np.concatenate([follows[1], word[to[behind]]])
-    left = n[row_of] - counts + 1
-    weight = np.where(left > 0, np.log2(np.maximum(left, 1) / (counts + 0.5)), 0.0) / window**2
-    sums = np.zeros(len(counts))
-    np.add.at(sums, own, weight[other])
-    np.add.at(sums, other, weight[own])
-    some = np.flatnonzero(sums)
-    return row_of[some], counts[some], sums[some]
+    own = np.concatenate([word[follows[0]], word[at[behind]]]).astype(np.int64)
+    other = np.concatenate([follows[1], word[to[behind]]]).astype(np.int64)
+    size = max(1, len(counts))
+    pairs, times = np.unique(np.concatenate([own * size + other, other * size + own]), return_counts=True)
+    return row_of, counts, pairs // size, pairs % size, times
+
+
+def _near_batches(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            flat = words.flatten()
+            positions = pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy() - words.offsets[0].as_py(), pa.int32()), flat.field(1))
+            row_of, counts, own, other, times = close_pairs(positions, window)
+            terms = flat.field(0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row_of[own])), terms.take(pa.array(own)), terms.take(pa.array(other)), pa.array(counts[own].astype(np.int64)), pa.array(counts[other].astype(np.int64)), pa.array(times)],
+                ["doc_id", "term", "other", "tf", "other_tf", "times"],
+            )
+
+    return run
 
 
 def proximity_scores(index: SearchIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.4, window: int = 2) -> DataFrame:
     """(query_id, doc_id, score): BM25 (index form) plus, for each distinct query word in the document,
-    min(log2((n - tf + 1) / (tf + 0.5)), 1) acc (k1 + 1) / (acc + k1 ((1 - b) + b dl / avgdl))."""
-    base = sparse_scores(index, queries, bm25_index())
-    terms = query_terms(queries).select("query_id", "term")
-    held = index.postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.collect_list("positions").alias("words")).where(F.size("words") > 1)
-    rows = index.with_stats(held.join(index.doc_stats, "doc_id")).select("query_id", "doc_id", "words", "dl", "n", "avgdl")
+    min(log2((n - tf + 1) / (tf + 0.5)), 1) acc (k1 + 1) / (acc + k1 ((1 - b) + b dl / avgdl)).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dl, n, mean = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3, 6))
-            row, size, acc = close_sums(batch.column(2), n, window)
-            left = n[row] - size + 1
-            rarity = np.where(left > 0, np.minimum(np.log2(np.maximum(left, 1) / (size + 0.5)), 1.0), 0.0)
-            bonus = np.zeros(len(dl))
-            np.add.at(bonus, row, rarity * acc * (k1 + 1) / (acc + k1 * ((1 - b) + b * dl[row] / mean[row])))
-            some = pa.array(np.unique(row))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(bonus).take(some)], ["query_id", "doc_id", "bonus"])
-
-    kinds = dict(rows.dtypes)
-    extra = rows.mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, bonus double")
+    Which words stand close together is found once for each document, among the words of all queries; positions never
+    multiply with queries.
+    """
+    base = sparse_scores(index, queries, bm25_index())
+    terms = maybe_broadcast(materialize(query_terms(queries).select("query_id", "term")))
+    held = index.postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("term", "positions")).alias("words"))
+    near = held.where(F.size("words") > 1).mapInArrow(_near_batches(window), f"doc_id {dict(held.dtypes)['doc_id']}, term string, other string, tf long, other_tf long, times long")
+    asked = near.join(terms, "term").join(terms.withColumnRenamed("term", "other"), ["query_id", "other"], "left_semi")
+    rarity = lambda tf: F.when(F.col("n") - F.col(tf) + 1 > 0, F.log2((F.col("n") - F.col(tf) + 1) / (F.col(tf) + 0.5)))
+    weighed = index.with_stats(asked).withColumn("amount", F.col("times") * F.coalesce(rarity("other_tf"), F.lit(0.0)) / window**2)
+    acc = weighed.groupBy("query_id", "doc_id", "term").agg(F.sum("amount").alias("acc"), F.first("tf").alias("tf")).where("acc <> 0")
+    rows = index.with_stats(acc.join(index.doc_stats, "doc_id"))
+    own = F.least(F.coalesce(rarity("tf"), F.lit(0.0)), F.lit(1.0)) * F.col("acc") * (k1 + 1) / (F.col("acc") + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))
+    extra = rows.groupBy("query_id", "doc_id").agg(F.sum(own).alias("bonus"))
     return base.join(extra, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))

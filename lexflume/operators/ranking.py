@@ -1,8 +1,8 @@
 """Ranking models over an index: one matched set, one expression per model, one window for the cut.
 
 The weight of a sparse model is a product of a part that belongs to the query's term and a part that belongs to the posting.
-Each part is computed where its rows are few, once per term and once per posting; a match is a multiplication. Query
-terms are few in number and Catalyst broadcasts them by size; postings are read once.
+Each part is computed where its rows are few, once per term and once per posting; a match is a multiplication. The terms of
+the queries are written down and counted first: up to a bound they are sent to the tasks that read the postings.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexflume.operators.index import SearchIndex
+from lexflume.session import materialize, maybe_broadcast
 
 DIGITS = 6
 
@@ -66,6 +67,7 @@ def sparse_scores(index: SearchIndex, queries: DataFrame, parts: Parts) -> DataF
     """(query_id, doc_id, score) of matching documents."""
     of_term, of_posting = parts
     terms = index.with_stats(query_terms(queries).join(index.term_stats, "term")).select("query_id", "term", of_term.alias("of_term"))
+    terms = maybe_broadcast(materialize(terms))
     post = index.with_stats(index.postings.select("term", "doc_id", "tf").join(index.doc_stats, "doc_id")).select("term", "doc_id", of_posting.alias("of_posting"))
     return post.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("of_term") * F.col("of_posting")).alias("score"))
 
@@ -74,11 +76,13 @@ def _dense(index: SearchIndex, queries: DataFrame, part: Column, constants: Data
     """Scores of a model that gives every document with terms a score: a constant by query and length, plus the matched part (at
     least 0). Of the documents that don't match only `first` (doc_id, dl) can rank, so documents never multiply with queries:
     a document outside of them stands behind k documents of `first` whether these match or not."""
-    got = matched_with(index, queries, constants).groupBy("query_id", "doc_id").agg(F.sum(part).alias("part"))
+    constants = materialize(constants)
     ids = constants.groupBy("query_id").agg(F.sum("qtf").alias("qlen"), F.sum("base").alias("base"))
-    hits = got.join(ids, "query_id").join(index.doc_stats, "doc_id").select("query_id", "doc_id", "qlen", "base", "dl", "part")
-    rest = ids.crossJoin(F.broadcast(first)).join(got.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "qlen", "base", "dl", F.lit(0.0).alias("part"))
-    return index.with_stats(hits.unionByName(rest)).select("query_id", "doc_id", (constant + F.col("part")).alias("score"))
+    parts = matched_with(index, queries, constants).select("query_id", "doc_id", part.alias("part"))
+    others = ids.select("query_id").crossJoin(F.broadcast(first.select("doc_id"))).withColumn("part", F.lit(0.0))
+    got = parts.unionByName(others).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+    rows = index.with_stats(got.join(ids, "query_id").join(index.doc_stats, "doc_id"))
+    return rows.select("query_id", "doc_id", (constant + F.col("part")).alias("score"))
 
 
 def _shortest(index: SearchIndex, k: int, digits: int | None) -> DataFrame:
@@ -94,7 +98,7 @@ def _shortest(index: SearchIndex, k: int, digits: int | None) -> DataFrame:
 
 
 def matched_with(index: SearchIndex, queries: DataFrame, constants: DataFrame) -> DataFrame:
-    return index.postings.select("term", "doc_id", "tf").join(constants.select("query_id", "term", "qtf", "c"), "term").join(index.doc_stats, "doc_id")
+    return index.postings.select("term", "doc_id", "tf").join(maybe_broadcast(constants.select("query_id", "term", "qtf", "c")), "term").join(index.doc_stats, "doc_id")
 
 
 def laplace_scores(index: SearchIndex, queries: DataFrame, k: int = 1000, digits: int | None = DIGITS) -> DataFrame:
@@ -114,7 +118,7 @@ def jelinek_mercer_scores(index: SearchIndex, queries: DataFrame, k: int = 1000,
     Factorised with c = (lam - 1) ttf / v: sum of qtf ln c for the query, plus qtf ln(1 + lam tf / (dl c)) for each match.
     """
     terms = index.with_stats(query_terms(queries).join(index.term_stats, "term", "left"))
-    c = (lam - 1) * F.coalesce("ttf", F.lit(unseen_ttf)) / F.col("v")
+    c = F.try_divide((lam - 1) * F.coalesce("ttf", F.lit(unseen_ttf)), F.col("v"))
     constants = terms.select("query_id", "term", "qtf", c.alias("c")).withColumn("base", F.col("qtf") * F.ln("c"))
     first = index.doc_stats.where("dl > 0").orderBy("doc_id").limit(k)
     return _dense(index, queries, F.col("qtf") * F.ln(1 + lam * F.col("tf") / (F.col("dl") * F.col("c"))), constants, F.col("base"), first)
