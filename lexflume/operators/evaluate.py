@@ -38,10 +38,6 @@ def labelled(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return rows.withColumn("f1", F.when(F.col("rr") > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-def _at(cut: int, value: Column, lacking: Column) -> Column:
-    return F.coalesce(F.max(F.when(F.col("rank") == cut, value)), lacking)
-
-
 def evaluate_binary(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """One row per query of the run: retrieved, n_rel, rel_ret, ap, r_precision, ndcg and p/recall/f1 at the cuts.
 

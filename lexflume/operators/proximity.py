@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from math import log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def visited_close(left: list[int], right: list[int], window: int) -> int:
     return close + (sum(abs(p - left[-1]) <= window for p in right[j:]) if j < len(right) else 0)
 
 
+@F.pandas_udf("long")
+def visited_close_pairs(left: pd.Series, right: pd.Series, window: pd.Series) -> pd.Series:
+    """`visited_close` of two sorted position lists; null for a null, 0 for an empty list."""
+    some = lambda a, b: a is not None and b is not None
+    found = [None if not some(a, b) else visited_close(list(a), list(b), int(w)) if len(a) and len(b) else 0 for a, b, w in zip(left, right, window)]
+    return pd.Series(found, dtype="Int64")
+
+
 def accumulate(words: list[list[int]], n: int, window: int = 2) -> list[float]:
     """For each word (its sorted positions in a document) the sum over its close pairs with the other words:
     log2((n - t + 1) / (t + 0.5)) / window^2 each, t the other word's positions in the document.

@@ -63,6 +63,9 @@ _ROWS = r"""rows AS (SELECT doc_id, n_chars, CASE WHEN string_split(source, '_')
 _ENTRIES = ", ".join(f"('{w}')" for w in textclass.VOCABULARY_B)
 
 ORACLE = {
+    "mail_bodies": r"""SELECT doc_id, nullif(regexp_extract('\n' || split_part(text, chr(10) || chr(10), 1), '\nSubject: ([^\n]*)', 1), '') AS subject, substr(text, position(chr(10) || chr(10) IN text) + 2) AS body
+      FROM documents WHERE starts_with(text, 'From: ') AND contains(text, chr(10) || chr(10))
+      UNION ALL SELECT doc_id, nullif(regexp_extract('\n' || text, '\nSubject: ([^\n]*)', 1), ''), '' FROM documents WHERE starts_with(text, 'From: ') AND NOT contains(text, chr(10) || chr(10))""",
     "spam_labels": f"WITH {_ROWS} SELECT label, count(*) AS docs, sum(len(w))::BIGINT AS tokens FROM rows GROUP BY label",
     "spam_vocab_counts": f"""WITH {_ROWS}, v AS (SELECT * FROM (VALUES {_ENTRIES}) t(entry)),
       grams AS (SELECT label, unnest(w) AS g FROM rows UNION ALL SELECT label, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM rows

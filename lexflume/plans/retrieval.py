@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexflume.functions.analysis import Analyzer, clean_words, not_stopped_substring, stop_set, word_list
+from lexflume.functions.analysis import Analyzer, clean_words, not_stopped_substring, porter_stem, stop_set, word_list
 from lexflume.operators import feedback, ranking
 from lexflume.operators.index import SearchIndex, merge_postings, postings
 from lexflume.session import table
@@ -74,6 +74,22 @@ def stem_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.term_stats
 
 
+#: Words and their stems as published with the algorithm (fixed values).
+STEMS = (
+    "caresses caress, ponies poni, ties ti, caress caress, cats cat, feed feed, agreed agre, plastered plaster, bled bled, motoring motor, sing sing, conflated conflat, troubled troubl, sized size, "
+    "hopping hop, tanned tan, falling fall, hissing hiss, fizzed fizz, failing fail, filing file, happy happi, sky sky, relational relat, conditional condit, rational ration, digitizer digit, "
+    "operator oper, feudalism feudal, decisiveness decis, hopefulness hope, callousness callous, triplicate triplic, formative form, formalize formal, electrical electr, hopeful hope, goodness good, "
+    "revival reviv, allowance allow, inference infer, airliner airlin, gyroscopic gyroscop, adjustable adjust, defensible defens, irritant irrit, replacement replac, adjustment adjust, dependent depend, "
+    "adoption adopt, communism commun, activate activ, homologous homolog, effective effect, bowdlerize bowdler, probate probat, rate rate, cease ceas, controll control, roll roll"
+)
+
+
+def porter_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems of the published words; every document is stemmed by the same function in `stem_postings`."""
+    words = [(pair.split()[0],) for pair in STEMS.split(", ")]
+    return spark.createDataFrame(words, "word string").select("word", porter_stem("word").alias("stem"))
+
+
 def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial indexes of each language merged; equal to the index in one go."""
     docs = table(spark, sf_dir, "documents").withColumn("part", F.coalesce(F.lower("lang") == "en", F.lit(False)))
@@ -131,7 +147,7 @@ def prf_aggs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_positions, doc_lengths, term_stats, collection_stats, postings_list, vocab_exact, stopword_filter, stopword_substring, clean_text, stem_postings, index_merge, vector_bm25, run_file, prf_expand, significant_terms, prf_aggs_expand)} | RUNS
+QUERIES = {f.__name__: f for f in (tokenize_positions, doc_lengths, term_stats, collection_stats, postings_list, vocab_exact, stopword_filter, stopword_substring, clean_text, stem_postings, porter_stems, index_merge, vector_bm25, run_file, prf_expand, significant_terms, prf_aggs_expand)} | RUNS
 
 # --- DuckDB twins -----------------------------------------------------------------------------------------------------
 
@@ -214,6 +230,7 @@ _PROXIMITY = f"""{_BASE},
 
 ORACLE = {
     "proximity_bm25": f"{_PROXIMITY} {_rank('SELECT query_id, doc_id, score + coalesce(bonus, 0) AS score FROM (' + _sparse(_WEIGHTS['bm25_index']) + ') LEFT JOIN bonus USING (query_id, doc_id)')}",
+    "porter_stems": f"SELECT * FROM (VALUES {', '.join(str(tuple(pair.split())) for pair in STEMS.split(', '))}) t(word, stem)",
     "tokenize_positions": _tokens("documents", "doc_id"),
     "doc_lengths": f"WITH {INDEX_SQL} SELECT doc_id, dl FROM docs",
     "term_stats": f"WITH {INDEX_SQL} SELECT term, df, ttf FROM terms",

@@ -198,6 +198,11 @@ ORACLE = {
     "html_title_lang": f"WITH {_HTML}, t AS (SELECT page_id, url, url AS title, CASE WHEN contains(html, ' lang=\"en-GB\"') THEN 'en-GB' ELSE 'en' END AS lang FROM html) SELECT page_id, title, lang, contains(lower(lang), 'en') AND {_BLOCKED} AS admitted FROM t",
     "page_links": f"SELECT DISTINCT src, place, dst FROM (SELECT url AS src, place, {_canonical('l')} AS dst FROM (SELECT url, unnest(outlinks) AS l, unnest(range(len(outlinks))) AS place FROM hurricane_index WHERE url IS NOT NULL AND content IS NOT NULL)) WHERE dst <> ''",
     "url_canonical": f"WITH {_URLS} SELECT url, {_canonical('url')} AS canonical FROM urls",
+    "url_index_key": r"""WITH u AS (SELECT DISTINCT u AS url, trim(u) AS t FROM (SELECT unnest(inlinks) AS u FROM hurricane_index) WHERE u IS NOT NULL),
+      p AS (SELECT url, regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)(?::[0-9]*)?([^?#]*)([?][^#]*)?', ['scheme', 'host', 'path', 'query']) AS x FROM u),
+      s AS (SELECT url, x, list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace(x.path, '/+', '/', 'g'), '/'), lambda y: [y])),
+            lambda stack, y: CASE WHEN y[1] = '..' THEN CASE WHEN len(stack) > 1 THEN stack[1:len(stack) - 1] ELSE stack END WHEN y[1] = '.' THEN stack ELSE list_append(stack, y[1]) END) AS stack FROM p)
+      SELECT url, lower(x.scheme) || '://' || lower(x.host) || array_to_string(stack, '/') || x.query AS key FROM s""",
     "url_domain": rf"WITH {_URLS} SELECT url, regexp_extract(url, '//([^/]*[\p{{L}}\p{{N}}_])', 1) AS domain, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host FROM urls",
     "host_collapse": "SELECT author AS query_id, host, page_id AS doc_id, coalesce(len(inlinks), 0)::INT AS score FROM hurricane_index WHERE author IS NOT NULL QUALIFY row_number() OVER (PARTITION BY author, host ORDER BY coalesce(len(inlinks), 0) DESC, page_id) = 1",
     "frontier_score": f"SELECT page_id, round(exp(-({_HITS_OF})) + exp(-coalesce(len(inlinks), 0)), 9) AS score FROM hurricane_index WHERE url IS NOT NULL",
