@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexflume.operators.index import SearchIndex
 from lexflume.operators.ranking import bm25_index, query_terms, sparse_scores
@@ -35,7 +36,7 @@ def visited_close(left: list[int], right: list[int], window: int) -> int:
     return close + (sum(abs(p - left[-1]) <= window for p in right[j:]) if j < len(right) else 0)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def visited_close_pairs(left: pd.Series, right: pd.Series, window: pd.Series) -> pd.Series:
     """`visited_close` of two sorted position lists; null for a null, 0 for an empty list."""
     some = lambda a, b: a is not None and b is not None

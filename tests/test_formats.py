@@ -80,3 +80,11 @@ def test_proximity_sums_equal_the_walk():
         left = sizes[row_of[a]] - counts[b] + 1
         sums[a] += n * np.log2(left / (counts[b] + 0.5)) / 4 if left > 0 else 0.0
     assert sums == pytest.approx([x for words, size in zip(rows, sizes) for x in accumulate(words, size)])
+
+
+def test_the_walk_as_an_sql_function(spark):
+    from lexflume.functions.register import register_functions
+
+    register_functions(spark)
+    rows = spark.sql("SELECT visited_close(a, b, 2) AS n FROM VALUES (array(1, 5), array(2, 9)), (array(1), array(2, 3)), (CAST(array() AS ARRAY<INT>), array(1)), (CAST(NULL AS ARRAY<INT>), array(1)) t(a, b)")
+    assert [r.n for r in rows.collect()] == [1, 3, 0, None]
