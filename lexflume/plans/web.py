@@ -57,7 +57,8 @@ def hits_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hits(_edges(spark, sf_dir), _nodes(spark, sf_dir), tolerance=1e-7)
+    scores = graph.hits(_edges(spark, sf_dir), _nodes(spark, sf_dir), tolerance=1e-7)
+    return scores.select("node", F.round("authority", 9).alias("authority"), F.round("hub", 9).alias("hub"))
 
 
 def hits_base_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +164,21 @@ def _hits(rounds: int) -> str:
     return ",\n  ".join(steps)
 
 
+def _pagerank_converged(most: int) -> str:
+    """The scores of the round in which the perplexity has changed by less than 1 for the fourth time."""
+    every = " UNION ALL ".join(f"SELECT {k} AS round_, node, score FROM r{k}" for k in range(most + 1))
+    return f"""{_pagerank(most)}, every AS ({every}),
+  p AS (SELECT round_, pow(2, sum(-score * log2(score))) AS p FROM every WHERE score > 0 GROUP BY round_),
+  calm AS (SELECT round_, sum((abs(p - before) < 1)::INT) OVER (ORDER BY round_) AS calm FROM (SELECT round_, p, lag(p) OVER (ORDER BY round_) AS before FROM p) WHERE before IS NOT NULL)"""
+
+
+def _hits_converged(most: int) -> str:
+    """The scores of the first round that moves no score by more than the tolerance, or of the last one."""
+    every = " UNION ALL ".join(f"SELECT {k} AS round_, node, authority, hub FROM h{k}" for k in range(most + 1))
+    return f"""{_hits(most)}, every AS MATERIALIZED ({every}),
+  moved AS (SELECT b.round_, max(greatest(abs(a.authority - b.authority), abs(a.hub - b.hub))) AS moved FROM every a JOIN every b ON b.node = a.node AND b.round_ = a.round_ + 1 GROUP BY b.round_)"""
+
+
 _HTML = """html AS (SELECT page_id, url, '<html' || CASE WHEN author IS NULL THEN '' ELSE ' lang="en-GB"' END || '><head><title>' || url || '</title></head><body><p>'
   || replace(replace(content, chr(13), ''), chr(10), '</p>' || chr(10) || '<p class=''t''>') || '</p>'
   || array_to_string(list_transform(coalesce(outlinks, []), lambda u: '<a class="x" href="' || u || '">more</a>'), chr(10)) || '</body></html>' AS html
@@ -188,6 +204,8 @@ ORACLE = {
     "link_edges": "SELECT DISTINCT l AS src, url AS dst FROM (SELECT url, unnest(inlinks) AS l FROM hurricane_index WHERE url IS NOT NULL) WHERE l IS NOT NULL",
     "link_degrees": f"WITH {_EDGES}, {_DEGREES} SELECT * FROM degrees",
     "pagerank_fixed": f"WITH {_pagerank(4)} SELECT node, round(score, 10) AS score FROM r4",
+    "pagerank_converged": f"WITH {_pagerank_converged(40)} SELECT node, round(score, 10) AS score FROM every WHERE round_ = (SELECT min(round_) FROM calm WHERE calm >= 4)",
+    "hits_converged": f"WITH {_hits_converged(100)} SELECT node, round(authority, 9) AS authority, round(hub, 9) AS hub FROM every WHERE round_ = coalesce((SELECT min(round_) FROM moved WHERE moved <= 1e-7), 100)",
     "pagerank_top": f"""WITH {_pagerank(4)}, {_DEGREES}, top AS (SELECT node, round(score, 10) AS score FROM r4 ORDER BY round(score, 10) DESC, node LIMIT 500)
       SELECT node, score, coalesce(inlinks, 0) AS inlinks, coalesce(outlinks, 0) AS outlinks FROM top LEFT JOIN degrees USING (node)""",
     "hits_fixed": f"WITH {_hits(3)} SELECT node, round(authority, 9) AS authority, round(hub, 9) AS hub FROM h3",
