@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: set[str] = set()
 
 
 def build_session(app: str = "lexflume", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,6 +59,7 @@ def materialize(df: DataFrame, by: str | None = None, buckets: int = 0) -> DataF
     if by and buckets:
         df.repartition(buckets, by).write.format("parquet").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
         _written.append((spark, path))
+        _tables.add(path)
         back = spark.table(name)
         back._written_at = path
         return back
@@ -70,7 +72,9 @@ def materialize(df: DataFrame, by: str | None = None, buckets: int = 0) -> DataF
 
 def _delete(session: SparkSession, path: str) -> None:
     try:
-        session.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1]}")
+        if path in _tables:
+            _tables.discard(path)
+            session.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1]}")
         target = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session may be gone already
