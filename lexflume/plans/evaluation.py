@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexflume.operators import evaluate, ltr, ranking
-from lexflume.session import table
+from lexflume.session import materialize, table
 
 BM25, JM, TFIDF = "results_okapibm25_aggs_new", "results_jm_aggs", "results_tfidf_aggs"
 
@@ -90,7 +90,7 @@ def ltr_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ltr_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = ltr.robust_scaled(_features(spark, sf_dir), ["bm25", "jm", "tfidf"])
+    scaled = ltr.robust_scaled(materialize(_features(spark, sf_dir)), ["bm25", "jm", "tfidf"])
     return ltr.cross_validated(scaled, ["bm25", "jm", "tfidf"])
 
 
